@@ -1,12 +1,16 @@
 """The queries of this subpackage and their SQL; each module holds its own."""
 
-from . import substring_dedup, suffix_dedup
+from . import language_id, minhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_minhash_dedup": minhash_dedup.ORACLE,
     "op3_suffix_dedup": suffix_dedup.ORACLE,
 }
