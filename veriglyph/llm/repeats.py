@@ -11,6 +11,9 @@ windows that hang on one anchor make a run; the symbols under the run are its *c
 3. ``segments``: those contexts' symbols are cut out of the texts.
 4. ``refine``: dealt by seed again, the contexts are compared window by window, by the method of the caller.
 
+A seed with more than ``HOT`` contexts (the edge of a very common passage) would meet in one task; its contexts are cut
+into single windows in step 3, which are dealt by their own hash, equal ones combined first.
+
 Every step streams or holds one hash partition; the only thing gathered by document is its own spans.
 """
 
@@ -28,15 +31,17 @@ from .rolling import CHUNK, Ranges, buffers, byte_codes, chunks, mix, sliding_mi
 _ROW = "akey long, ctx long, doc_id long, meta long"
 _SEGMENT = "akey long, doc_id long, meta long, seg binary"
 _BITS, _ALL = 8, 255
+#: Contexts of one seed that are compared in one task.
+HOT = 2048
 
 
 def pack(start, off, nwin, kind):
-    """A run's place in one integer; kind 1: settled as a repeat."""
-    return (((np.asarray(start, np.int64) << _BITS | off) << _BITS | nwin) << 1) | kind
+    """A run's place in one integer; kind 1: settled as a repeat; 2: to be cut into windows."""
+    return (((np.asarray(start, np.int64) << _BITS | off) << _BITS | nwin) << 2) | kind
 
 
 def unpack(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return meta >> (2 * _BITS + 1), meta >> (_BITS + 1) & _ALL, meta >> 1 & _ALL, meta & 1
+    return meta >> (2 * _BITS + 2), meta >> (_BITS + 2) & _ALL, meta >> 2 & _ALL, meta & 3
 
 
 def coded(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -120,7 +125,7 @@ def _whole(batches, names: list[str]) -> list[np.ndarray]:
     return [np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in held]) if held else np.zeros(0, np.int64) for n in names]
 
 
-def classes(strict: bool) -> Callable:
+def classes(strict: bool, hot: int) -> Callable:
     def run(batches):
         akey, ctx, doc, meta = _whole(batches, ["akey", "ctx", "doc_id", "meta"])
         if not len(akey):
@@ -139,13 +144,15 @@ def classes(strict: bool) -> Callable:
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         again = doc != doc[lead] if strict else (doc != doc[lead]) | (meta != meta[lead])
         seed_no = np.cumsum(seed_new) - 1
-        many = np.bincount(seed_no, weights=new)[seed_no] > 1
+        contexts = np.bincount(seed_no, weights=new)[seed_no]
+        many = contexts > 1
         if strict:  # nothing to compare within one document
             heads = np.flatnonzero(seed_new)
             low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
             many &= (low < high)[seed_no]
         keep = again | many
-        yield from _sliced(_ROWS, akey[keep], ctx[keep], doc[keep], (meta | again)[keep])
+        kind = np.where(again, 1, np.where(contexts > hot, 2, 0))
+        yield from _sliced(_ROWS, akey[keep], ctx[keep], doc[keep], (meta | kind)[keep])
 
     return run
 
@@ -167,7 +174,22 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[head], top[np.append(head[1:], len(lo)) - 1]
 
 
-def segments(unit: str, window: int) -> Callable:
+def _windows(source: np.ndarray, size: int, window: int, docs: list, starts: list, firsts: list, strict: bool):
+    """Rows for single windows (of documents, at starts; ``firsts`` in ``source``), those settled within the batch among them."""
+    doc, start, first = (np.concatenate(x) for x in (docs, starts, firsts))
+    whole = source[(first * size)[:, None] + np.arange(window * size)]
+    codes = whole.view(np.uint64) if size == 8 else byte_codes()[whole]
+    key = Ranges(codes.ravel()).hash(np.arange(len(doc)) * window, np.arange(1, len(doc) + 1) * window).view(np.int64)
+    order = np.lexsort((start, doc, key))
+    key, doc, start, whole = key[order], doc[order], start[order], whole[order]
+    new = np.append(True, key[1:] != key[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = doc != doc[lead] if strict else ~new & ((doc != doc[lead]) | (start != start[lead]))
+    for k, d, s, w, a in zip(key.tolist(), doc.tolist(), start.tolist(), whole, again.tolist(), strict=True):
+        yield (int(mix(np.array([d]).view(np.uint64)).view(np.int64)[0]), d, s << 2 | 1, (s + window).to_bytes(8, "little")) if a else (k, d, int(pack(s, 0, 1, 0)), w.tobytes())
+
+
+def segments(unit: str, window: int, strict: bool) -> Callable:
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -177,17 +199,25 @@ def segments(unit: str, window: int) -> Callable:
             for i, j, codes, row_at in coded(data, offsets, unit):
                 source = codes.view(np.uint8) if unit == "word" else data[offsets[i] : offsets[j]]
                 size = 8 if unit == "word" else 1
-                outs = []
+                outs, hot = [], ([], [], [])
                 for r in range(i, j):
                     k, m = akey[at[r] : at[r + 1]], meta[at[r] : at[r + 1]]
                     start, _, nwin, kind = unpack(m)
                     settled = kind == 1
                     lo, hi = merged(start[settled], (start + nwin + window - 1)[settled])
                     for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-                        outs.append((int(mix(np.array([ids[r]]).view(np.uint64)).view(np.int64)[0]), int(ids[r]), a << 1 | 1, b.to_bytes(8, "little")))
+                        outs.append((int(mix(np.array([ids[r]]).view(np.uint64)).view(np.int64)[0]), int(ids[r]), a << 2 | 1, b.to_bytes(8, "little")))
                     base = row_at[r - i]
-                    for x, y, s, c in zip(k[~settled].tolist(), m[~settled].tolist(), (start + base)[~settled].tolist(), (nwin + window - 1)[~settled].tolist(), strict=True):
+                    todo, common = kind == 0, kind == 2
+                    for x, y, s, c in zip(k[todo].tolist(), m[todo].tolist(), (start + base)[todo].tolist(), (nwin + window - 1)[todo].tolist(), strict=True):
                         outs.append((x, int(ids[r]), y, source[s * size : (s + c) * size].tobytes()))
+                    if common.any():
+                        n = nwin[common]
+                        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[common], n)
+                        for x, y in zip(hot, (np.full(len(each), ids[r]), each, each + base), strict=True):
+                            x.append(y)
+                if hot[0]:
+                    outs += _windows(source, size, window, *hot, strict)
                 if outs:
                     yield _table(_SEGS, *(pa.array(x, t.type) for x, t in zip(zip(*outs, strict=True), _SEGS, strict=True)))
 
@@ -202,7 +232,7 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(n)])
 
 
-def refine(window: int, method: Callable, unit: str, strict: bool, block: int = 1 << 20) -> Callable:
+def refine(window: int, method: Callable, unit: str, strict: bool, block: int = 1 << 18) -> Callable:
     """method(akey, doc, start, off, nwin, symbols, offsets) tells for each segment's each window whether it is a repeat."""
 
     def run(batches):
@@ -212,10 +242,10 @@ def refine(window: int, method: Callable, unit: str, strict: bool, block: int =
         table = pa.Table.from_batches(held).combine_chunks()
         akey, doc, meta = (table.column(n).to_numpy() for n in ("akey", "doc_id", "meta"))
         data, at = buffers(table.column("seg"))
-        settled = np.flatnonzero(meta & 1)
+        settled = np.flatnonzero(meta & 3 == 1)
         ends = data[(at[settled][:, None] + np.arange(8)).ravel()].reshape(-1, 8).copy().view(np.int64).ravel()
-        yield from _sliced(_SPANS, doc[settled], meta[settled] >> 1, ends)
-        todo = np.flatnonzero(~(meta & 1).astype(bool))
+        yield from _sliced(_SPANS, doc[settled], meta[settled] >> 2, ends)
+        todo = np.flatnonzero(meta & 3 != 1)
         start, _, _, _ = unpack(meta)
         todo = todo[np.lexsort((start[todo], doc[todo], akey[todo]))]
         size = 8 if unit == "word" else 1
@@ -251,14 +281,14 @@ def refine(window: int, method: Callable, unit: str, strict: bool, block: int =
     return run
 
 
-def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, method: Callable) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, method: Callable, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(documents dealt by doc_id, (doc_id, spans)): the spans that repeated windows cover, unsorted and overlapping."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    found = docs.mapInArrow(anchors(unit, window, seed, strict), _ROW).repartition(n, "akey").mapInArrow(classes(strict), _ROW)
+    found = docs.mapInArrow(anchors(unit, window, seed, strict), _ROW).repartition(n, "akey").mapInArrow(classes(strict, hot), _ROW)
     dealt = docs.repartition(n, "doc_id")
     items = found.groupBy("doc_id").agg(F.collect_list(F.struct("akey", "meta")).alias("items"))
-    cut = dealt.join(items.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items").mapInArrow(segments(unit, window), _SEGMENT)
+    cut = dealt.join(items.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items").mapInArrow(segments(unit, window, strict), _SEGMENT)
     spans = cut.repartition(n, "akey").mapInArrow(refine(window, method, unit, strict), "doc_id long, lo long, hi long")
     return dealt, spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import _lists, merged, mix, repeats
+from .repeats import HOT, _lists, merged, mix, repeats
 
 WINDOW, SEED = 13, 5
 
@@ -80,9 +80,9 @@ def _kept(texts: bool):
     return run
 
 
-def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = False) -> DataFrame:
+def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document; with ``texts`` also the kept text and the removed word spans."""
-    dealt, spans = repeats(docs, "word", window, seed, True, extend(window, seed))
+    dealt, spans = repeats(docs, "word", window, seed, True, extend(window, seed), hot)
     joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     more = ", kept string, spans array<array<long>>" if texts else ""
     return joined.mapInArrow(_kept(texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + more)

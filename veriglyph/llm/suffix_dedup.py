@@ -4,8 +4,8 @@ The collection is the contexts that ``repeats.classes`` could not settle as whol
 ``GRAM`` bytes at every phase. One block of each string goes in per round, from the right. A round finds where
 the new suffixes belong from where their tails stand, and merges them, their symbols and their common prefixes
 into the ordered sequences in one pass. A context's windows are suffixes; runs with common prefixes of a window
-or more hold equal windows. Classes of a seed are independent collections, so a task takes about 1 MiB of them
-at a time: the sequences that the published method keeps in external files are then small enough for memory.
+or more hold equal windows. Classes of a seed are independent collections, so a task takes about 256 KiB of
+them at a time: the sequences that the published method keeps in external files are then small enough for memory.
 
 Contract of ``removed_bytes``: a byte goes when a string of ``window`` bytes covers it that also starts earlier:
 in a document of smaller doc_id, or earlier in the same one.
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import _lists, merged, repeats
+from .repeats import HOT, _lists, merged, repeats
 from .rolling import Ranges, byte_codes
 
 WINDOW, SEED, GRAM = 100, 32, 10
@@ -147,11 +147,11 @@ def _kept(texts: bool):
     return run
 
 
-def removed_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def removed_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gram: int = GRAM, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document; with ``texts`` also kept bytes, text and spans. ``gram`` divides ``window``."""
     if window % gram:
         raise ValueError("gram must divide window")
-    dealt, spans = repeats(docs, "byte", window, seed, False, by_collection(window, gram))
+    dealt, spans = repeats(docs, "byte", window, seed, False, by_collection(window, gram), hot)
     joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     more = ", kept binary, text string, spans array<array<long>>" if texts else ""
     return joined.mapInArrow(_kept(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
