@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*[F.col(k).alias(f"c{n}") for n, k in enumerate(keep)], F.col("text").alias("text_"), letters.alias("letters_"))
+    rows = docs.select(*[F.col(f"`{k}`").alias(f"c{n}") for n, k in enumerate(keep)], F.col("text").alias("text_"), letters.alias("letters_"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{n}" for n in range(len(keep))]
 
