@@ -9,9 +9,11 @@ Contract of ``near_components``: a document's set are the distinct ``shingle``-w
 2. Classes that share a band are candidates. In each band's bucket all members are held against one hub: the one that
    meets most others over all bands, the likely origin. b-bit counts, corrected for chance collisions, drop pairs
    five standard deviations below the threshold; full sets decide the others.
-3. Buckets whose members are then still in different components are compared in full, in square blocks of bounded
-   size spread over tasks, again by b-bit counts first. So no link between classes is lost with its bucket's size, and
-   pairs inside one component, where a further link changes nothing, are never made.
+3. Buckets whose members are then still in different components are compared in full, again by b-bit counts first, each
+   pair in the first bucket that it shares. Pairs of buckets of up to ``SMALL`` members become rows. Larger buckets are cut
+   into square blocks of bounded size, spread over tasks and holding their members' full sets, where pairs are confirmed
+   on the spot, the likeliest first, until their components have met; only links leave a block. So no link between
+   classes is lost with its bucket's size, and pairs inside one component, where a further link changes nothing, are never made.
 
 A pair at the threshold shares none of the 24 bands of 4 minima with a chance of 2e-8.
 
@@ -34,7 +36,7 @@ SHINGLE, NUM, DEN = 5, 85, 100
 MINIMA, ROWS, BITS = 96, 4, 4
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 5
-BLOCK = 256
+SMALL, BLOCK = 64, 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,35 +129,89 @@ def likely(num: int, den: int):
     return run
 
 
-def blocks(num: int, den: int):
-    """Of a partition's whole blocks (key, i, j, side, a, component, n, sig) the pairs of different components that may be linked."""
-    schema, least = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least_matches(num, den)
+def _meeting(table: pa.Table, num: int, den: int):
+    """Of whole blocks (key, i, j, side, a, component, n, sig, bands): the pairs, as rows of the table, of different components
+    that may be linked and share no earlier band, and how many values agree."""
+    key, i, j, side, comp, n = (table.column(k).to_numpy() for k in ("key", "i", "j", "side", "component", "n"))
+    sig = _signatures(table.column("sig"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+    least = least_matches(num, den)
+    order = np.lexsort((side, j, i, key))
+    heads = np.append(True, (key[order][1:] != key[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1]))
+    for rows in np.split(order, np.flatnonzero(heads)[1:]):
+        square = i[rows[0]] != j[rows[0]]
+        x, y = (rows[side[rows] == 0], rows[side[rows] == 1]) if square else (rows, rows)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k, row in enumerate(x):
+            rest = y if square else y[k + 1 :]
+            rest = rest[(comp[rest] != comp[row]) & (np.minimum(n[rest], n[row]) * den >= np.maximum(n[rest], n[row]) * num)]
+            if not len(rest):
+                continue
+            agree = matches(sig[rest], sig[row])
+            rest, agree = rest[agree >= least], agree[agree >= least]
+            now = int(np.argmax(bands[row] == key[row]))
+            new = ~(bands[rest, :now] == bands[row, :now]).any(axis=1)
+            found.append((np.full(int(new.sum()), row), rest[new], agree[new]))
+        yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def pairs_of_small(num: int, den: int):
+    """Pairs to confirm, out of a partition's whole buckets."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            a = table.column("a").to_numpy()
+            for x, y, _ in _meeting(table, num, den):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], a[y])), pa.array(np.maximum(a[x], a[y]))], schema=_PAIRS)
+
+    return run
+
+
+def links_of_large(num: int, den: int):
+    """Links, out of a partition's whole blocks with full sets."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        key, i, j, side, a, comp, n = (table.column(k).to_numpy() for k in ("key", "i", "j", "side", "a", "component", "n"))
-        sig = _signatures(table.column("sig"))
-        order = np.lexsort((side, j, i, key))
-        heads = np.append(True, (key[order][1:] != key[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1]))
-        for rows in np.split(order, np.flatnonzero(heads)[1:]):
-            x, y = (rows, rows) if i[rows[0]] == j[rows[0]] else (rows[side[rows] == 0], rows[side[rows] == 1])
-            if not len(x) or not len(y):
-                continue
-            ok = (comp[x][:, None] != comp[y]) & (np.minimum(n[x][:, None], n[y]) * den >= np.maximum(n[x][:, None], n[y]) * num)
-            if i[rows[0]] == j[rows[0]]:
-                ok = np.triu(ok, 1)
-            p, q = np.nonzero(ok)
-            good = matches(sig[x[p]], sig[y[q]]) >= least
-            if good.any():
-                p, q = a[x[p[good]]], a[y[q[good]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
+        a, comp = table.column("a").to_numpy(), table.column("component").to_numpy()
+        data, at = buffers(table.column("hashes"))
+        sets = lambda r: data[at[r] : at[r + 1]].view(np.uint64)
+        for x, y, agree in _meeting(table, num, den):
+            root: dict[int, int] = {}
+
+            def find(c: int, root=root) -> int:
+                while root.get(c, c) != c:
+                    root[c] = c = root.get(root[c], root[c])
+                return c
+
+            out = []
+            order = np.argsort(-agree, kind="stable")
+            for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                u, v = find(int(comp[p])), find(int(comp[q]))
+                if u != v and _linked(sets(p), sets(q), num, den):
+                    root[max(u, v)] = min(u, v)
+                    out.append((int(a[p]), int(a[q])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], schema=_PAIRS)
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two full sets (sorted hashes) meet in num/den of their union."""
+    both = np.sort(np.concatenate([x, y]))
+    meet = int((both[1:] == both[:-1]).sum())
+    return den * meet >= num * (len(both) - meet)
+
+
 def _sets(shingle: int):
     schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 
@@ -174,12 +230,7 @@ def _confirm(num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                meet = int((both[1:] == both[:-1]).sum())
-                keep.append(den * meet >= num * (len(both) - meet))
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
 
     return run
@@ -197,7 +248,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     bucketed = first.select("doc_id", F.explode("bands").alias("key"))
     shared = bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one < other").select("key", "size")
     bucketed = cut(bucketed.join(shared, "key").select("key", "size", F.col("doc_id").alias("a")))
-    known = cut(first.join(bucketed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "n", "sig").dropDuplicates(["a"]))
+    known = cut(first.join(bucketed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "n", "sig", "bands").dropDuplicates(["a"]))
     sets = cut(docs.join(known.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, hashes binary").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -213,12 +264,15 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     labels = components(links)
     placed = bucketed.join(labels.selectExpr("node as a", "component"), "a", "left").select("key", "size", "a", F.coalesce("component", "a").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    rest = cut(placed.join(open_keys, "key", "left_semi").join(known, "a"))
+    one = rest.filter(F.col("size") <= SMALL).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "a", "component", "n", "sig", "bands")
+    pairs = one.repartition(parts, "key").mapInArrow(pairs_of_small(num, den), "a long, b long")
     across = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = placed.join(open_keys, "key", "left_semi").join(known, "a").withColumn("at", F.pmod(F.xxhash64("a"), across).cast("int"))
-    rest = rest.select("key", "a", "component", "n", "sig", "at", F.explode(F.sequence(F.lit(0), across - 1)).alias("other"))
-    rest = rest.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"), "a", "component", "n", "sig")
-    more = rest.repartition(parts, "key", "i", "j").mapInArrow(blocks(num, den), "a long, b long").distinct()
-    more = cut(confirmed(more))
+    large = rest.filter(F.col("size") > SMALL).withColumn("at", F.pmod(F.xxhash64("a"), across).cast("int"))
+    large = large.join(sets.select(F.col("doc_id").alias("a"), "hashes"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
+    large = large.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"), "a", "component", "n", "sig", "bands", "hashes")
+    met = large.repartition(parts, "key", "i", "j").mapInArrow(links_of_large(num, den), "a long, b long")
+    more = cut(confirmed(pairs).union(met))
     if not more.isEmpty():
         labels = components(links.union(more))
     joined = found.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(labels.selectExpr("node as class_id", "component"), "class_id", "left")
