@@ -246,8 +246,10 @@ def refine(window: int, method: Callable, unit: str, strict: bool, block: int =
         ends = data[(at[settled][:, None] + np.arange(8)).ravel()].reshape(-1, 8).copy().view(np.int64).ravel()
         yield from _sliced(_SPANS, doc[settled], meta[settled] >> 2, ends)
         todo = np.flatnonzero(meta & 3 != 1)
-        start, _, _, _ = unpack(meta)
-        todo = todo[np.lexsort((start[todo], doc[todo], akey[todo]))]
+        todo = todo[np.lexsort((meta[todo], doc[todo], akey[todo]))]
+        if len(todo):  # a row of documents that comes twice brings the same contexts
+            a, d, m = akey[todo], doc[todo], meta[todo]
+            todo = todo[np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (m[1:] != m[:-1]))]
         size = 8 if unit == "word" else 1
         length = (at[1:] - at[:-1])[todo]
         heads = np.flatnonzero(np.append(True, akey[todo][1:] != akey[todo][:-1])) if len(todo) else np.zeros(0, np.int64)
