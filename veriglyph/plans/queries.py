@@ -107,7 +107,7 @@ def rounding(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.round_half_up((F.col("l_discount") - F.col("l_tax")) * F.col("l_quantity")).alias("rounded"), text.safe_divide("l_discount", "l_tax").alias("ratio"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN true WHEN o_orderkey % 5 = 1 THEN false WHEN o_orderkey % 5 = 2 THEN true WHEN o_orderkey % 5 = 3 THEN false END AS malicious,
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 2) THEN 1 WHEN o_orderkey % 5 IN (1, 3) THEN 0 END AS malicious,
   array_to_string(list_sort([x FOR x IN list_distinct([trim(y) FOR y IN string_split(o_orderstatus || ' , ' || o_orderstatus || ',,x', ',')]) IF x <> '']), ',') AS protect,
   CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS picked,
   CASE WHEN o_orderkey % 4 = 0 THEN 1.0::DOUBLE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_totalprice END AS weight FROM orders""")
@@ -117,7 +117,7 @@ def field_parsers(spark, d):
     listed = F.concat("o_orderstatus", F.lit(" , "), "o_orderstatus", F.lit(",,x"))
     pick = text.pick_string([F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.col("o_orderpriority"), F.lit(" "))).otherwise(F.lit("  ")), F.col("o_orderstatus")])
     w = F.expr("case o_orderkey % 4 when 0 then null when 1 then -o_totalprice else o_totalprice end")
-    return read(spark, d, "orders").select("o_orderkey", text.label(label).alias("malicious"), F.array_join(F.array_sort(text.unique_strings(text.protect_list(listed))), ",").alias("protect"), pick.alias("picked"), text.weight(w).alias("weight"))
+    return read(spark, d, "orders").select("o_orderkey", text.label(label).cast("int").alias("malicious"), F.array_join(F.array_sort(text.unique_strings(text.protect_list(listed))), ",").alias("protect"), pick.alias("picked"), text.weight(w).alias("weight"))
 
 
 # validators
