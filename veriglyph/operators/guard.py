@@ -139,7 +139,7 @@ class NameGuard:
         parts = []
         for k, s in enumerate(self.config.sources):
             low = self.config.case_insensitive if s.case_insensitive is None else s.case_insensitive
-            parts.append(s.taken(self.config.case_insensitive).select(F.col("key").cast("string").alias("key"), F.lit(bool(low or s.collation)).alias("insensitive"), F.struct(F.lit(k).alias("ordinal"), F.lit(s.name).alias("source"), F.lit(s.scope_key).cast("string").alias("scope_key"), "owner").alias("h")))
+            parts.append(s.taken(self.config.case_insensitive).select(F.col("key").cast("string").alias("key"), F.lit(bool(low or s.collation == "UTF8_LCASE")).alias("insensitive"), F.struct(F.lit(k).alias("ordinal"), F.lit(s.name).alias("source"), F.lit(s.scope_key).cast("string").alias("scope_key"), "owner").alias("h")))
         if not parts:
             return self.spark.createDataFrame([], "key string, insensitive boolean, holders array<struct<ordinal: int, source: string, scope_key: string, owner: string>>")
         rows = reduce(DataFrame.unionAll, parts)
@@ -162,7 +162,7 @@ class NameGuard:
         held = self.taken()
         out, found = values, []
         for low in (False, True):
-            if not any(bool((self.config.case_insensitive if s.case_insensitive is None else s.case_insensitive) or s.collation) == low for s in self.config.sources):
+            if not any(bool((self.config.case_insensitive if s.case_insensitive is None else s.case_insensitive) or s.collation == "UTF8_LCASE") == low for s in self.config.sources):
                 continue
             side = held.filter(F.col("insensitive") == low).select(F.col("key").alias("key_"), F.col("holders").alias(f"holders_{low}"))
             key = F.lower(F.col(column)) if low else F.col(column)

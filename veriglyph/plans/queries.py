@@ -46,7 +46,7 @@ def suppliers(spark, d) -> DataFrame:
 C = "(SELECT c_custkey, lower(replace(c_name, '#', '-')) AS handle FROM customer)"
 S = "(SELECT s_suppkey, lower(replace(s_name, '#', '-')) AS handle FROM supplier)"
 #: Latin a, e, o for Cyrillic ones in every third name.
-SPOOFED = F.expr("case when c_custkey % 3 = 0 then translate(handle, 'aeo', 'аео') else handle end")
+SPOOFING = "case when c_custkey % 3 = 0 then translate(handle, 'aeo', 'аео') else handle end"
 SPOOFED_SQL = "CASE WHEN c_custkey % 3 = 0 THEN translate(handle, 'aeo', 'аео') ELSE handle END"
 VALID = "regexp_matches({0}, '^[a-z0-9][a-z0-9-]{{1,29}}$')"
 
@@ -75,14 +75,14 @@ def codepoint_labels(spark, d):
 @query(f"""SELECT c_custkey, regexp_matches(h, '\\p{{Latin}}') AND regexp_matches(h, '\\p{{Cyrillic}}') AS mixed FROM (SELECT c_custkey, {SPOOFED_SQL} AS h FROM {C})""")
 def mixed_scripts(spark, d):
     """N8, T5."""
-    return customers(spark, d).select("c_custkey", text.has_mixed_scripts(SPOOFED).alias("mixed"))
+    return customers(spark, d).select("c_custkey", text.has_mixed_scripts(F.expr(SPOOFING)).alias("mixed"))
 
 
 @query(f"""SELECT CASE WHEN regexp_matches(ch, '\\p{{Cyrillic}}') THEN 'cyrillic' WHEN regexp_matches(ch, '\\p{{Latin}}') THEN 'latin' ELSE 'non-letter' END AS script, count(*) AS n
 FROM (SELECT unnest(string_split({SPOOFED_SQL}, '')) AS ch FROM {C}) WHERE ch <> '' GROUP BY 1""")
 def script_tags(spark, d):
     """N7."""
-    return customers(spark, d).select(F.explode(pairs.characters(SPOOFED)).alias("ch")).groupBy(text.script_tag("ch").alias("script")).agg(F.count("*").alias("n"))
+    return customers(spark, d).select(F.explode(pairs.characters(F.expr(SPOOFING))).alias("ch")).groupBy(text.script_tag("ch").alias("script")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT c_custkey, length(h) - length(replace(h, chr(8203), '')) AS ignorables, contains(h, chr(8238)) AS bidi, replace(replace(h, chr(8203), ''), chr(8238), '') AS visible
@@ -127,7 +127,7 @@ def _messages() -> tuple[str, str]:
     return "Use 2-30 lowercase letters, numbers, or hyphens.", "Identifiers cannot be purely numeric."
 
 
-SHAPES = F.expr("case c_custkey % 4 when 0 then handle when 1 then replace(handle, '-', '_') when 2 then concat(c_custkey, '-', c_custkey) else repeat(handle, 3) end")
+SHAPING = "case c_custkey % 4 when 0 then handle when 1 then replace(handle, '-', '_') when 2 then concat(c_custkey, '-', c_custkey) else repeat(handle, 3) end"
 SHAPES_SQL = "CASE c_custkey % 4 WHEN 0 THEN handle WHEN 1 THEN replace(handle, '-', '_') WHEN 2 THEN c_custkey || '-' || c_custkey ELSE repeat(handle, 3) END"
 
 
@@ -136,13 +136,13 @@ SHAPES_SQL = "CASE c_custkey % 4 WHEN 0 THEN handle WHEN 1 THEN replace(handle,
 def format_gate(spark, d):
     """V1-V6."""
     guard = NameGuard(spark, Config(reserved=["customer-000000004", "customer-000000008"], allow_purely_numeric=False))
-    return guard.validate_format(customers(spark, d).select("c_custkey", SHAPES.alias("identifier"))).select("c_custkey", "message")
+    return guard.validate_format(customers(spark, d).select("c_custkey", F.expr(SHAPING).alias("identifier"))).select("c_custkey", "message")
 
 
 @query(f"SELECT c_custkey, CASE WHEN regexp_matches(h, '[аео]') THEN 'look-alike' END AS message FROM (SELECT c_custkey, {SPOOFED_SQL} AS h FROM {C})")
 def homoglyph_gate(spark, d):
     """V13."""
-    return customers(spark, d).select("c_custkey", validators.homoglyph("look-alike", mixed=True)(SPOOFED).alias("message"))
+    return customers(spark, d).select("c_custkey", validators.homoglyph("look-alike", mixed=True)(F.expr(SPOOFING)).alias("message"))
 
 
 @query(f"""SELECT c_custkey, CASE WHEN c_custkey % 4 IN (1, 2, 3) THEN 'invisible' END AS message FROM {C}""")
@@ -256,8 +256,8 @@ def duplicate_report(spark, d):
 # suggestions
 
 
-def _suggested(strategy: str, column=F.col("handle")):
-    return lambda spark, d: customers(spark, d).select("c_custkey", F.posexplode(suggest.STRATEGIES[strategy]()(column)).alias("pos", "candidate")).withColumn("pos", F.col("pos").cast("long"))
+def _suggested(strategy: str):
+    return lambda spark, d: customers(spark, d).select("c_custkey", F.posexplode(suggest.STRATEGIES[strategy]()(F.col("handle"))).alias("pos", "candidate")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY i, k) - 1 AS BIGINT) AS pos, candidate FROM (
@@ -357,14 +357,14 @@ def enforce_risk(spark, d):
   SELECT c_custkey, length(handle) - length(replace(replace(replace(handle, 'a', ''), 'e', ''), 'o', '')) AS n FROM {C} WHERE c_custkey % 3 = 0)""")
 def distance_spoofed(spark, d):
     """Cyrillic letters against the names they imitate."""
-    rows = customers(spark, d).filter("c_custkey % 3 = 0").withColumn("d", pairs.distance(SPOOFED, F.col("handle")))
+    rows = customers(spark, d).filter("c_custkey % 3 = 0").withColumn("d", pairs.distance(F.expr(SPOOFING), F.col("handle")))
     return rows.select("c_custkey", "d.distance", "d.cross_script_count", "d.skeleton_equal")
 
 
 @query(f"""SELECT c_custkey, 100 AS score, 'block' AS action FROM {C} WHERE c_custkey % 3 = 0""")
 def risk_spoofed(spark, d):
     """R1 through the kernel: every spoofed name against its own."""
-    rows = customers(spark, d).filter("c_custkey % 3 = 0").withColumn("identifier", SPOOFED)
+    rows = customers(spark, d).filter("c_custkey % 3 = 0").withColumn("identifier", F.expr(SPOOFING))
     scored = risk.check_risk(NameGuard(spark), rows, targets=rows.select(F.col("identifier").alias("normalized"), F.col("handle").alias("target")))
     return rows.select("c_custkey", "identifier").join(scored, "identifier").select("c_custkey", "score", "action")
 
@@ -375,7 +375,7 @@ def risk_spoofed(spark, d):
 @query(f"SELECT a.c_custkey, b.c_custkey AS other FROM {C} a JOIN {C} b ON a.handle = b.handle WHERE a.c_custkey % 3 = 0")
 def skeleton_join(spark, d):
     """Spoofed names meet the names they imitate."""
-    a = customers(spark, d).filter("c_custkey % 3 = 0").select("c_custkey", SPOOFED.alias("h"))
+    a = customers(spark, d).filter("c_custkey % 3 = 0").select("c_custkey", F.expr(SPOOFING).alias("h"))
     b = customers(spark, d).select(F.col("c_custkey").alias("other"), "handle")
     return pairs.skeleton_join(a, b, "h", "handle").select("c_custkey", "other")
 

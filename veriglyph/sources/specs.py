@@ -23,7 +23,7 @@ def safe_name(name: str, kind: str) -> str:
 class Source:
     """``column`` of a frame holds taken values; a row belongs to who has its ``id_column``'s value in the scope's ``scope_key``.
 
-    ``case_insensitive``: None takes the guard's setting. ``collation`` compares under a Spark collation instead.
+    ``case_insensitive``: None takes the guard's setting. ``collation`` UTF8_LCASE compares without case but with accents.
     """
 
     name: str
@@ -35,13 +35,15 @@ class Source:
     collation: str | None = None
 
     def __post_init__(self):
+        if self.collation not in (None, "UTF8_BINARY", "UTF8_LCASE"):
+            raise ValueError(f"Unknown collation: {self.collation}")
         for c in (self.column, *([self.id_column] if self.scope_key else [])):
             if c not in self.frame.columns:
                 raise ValueError(f"Source {self.name!r} has no column {c!r}")
 
     def key(self, value: Column, insensitive: bool) -> Column:
-        if self.collation:
-            return F.collate(value, self.collation)
+        if self.collation == "UTF8_LCASE":
+            return F.lower(value)
         return F.lower(value) if (insensitive if self.case_insensitive is None else self.case_insensitive) else value
 
     def taken(self, insensitive: bool) -> DataFrame:
