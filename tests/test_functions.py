@@ -121,3 +121,10 @@ def test_unique_violations():
 
     assert kernels.is_unique_violation(Driver()) and kernels.is_unique_violation({"cause": {"errno": 1062}})
     assert kernels.is_unique_violation(ValueError("UNIQUE constraint failed")) and not kernels.is_unique_violation(ValueError("no"))
+
+
+def test_weights_from_edges(spark):
+    edges = spark.createDataFrame([("Arial", "1", "l", 0.83456, True), ("Arial", "1", "i", 0.4, False)], "font string, src string, tgt string, ssim double, xid_continue boolean")
+    assert [(r.font, r.danger, r.cost, r.xid_continue, r.tr39_allowed) for r in tables.font_weights(edges).collect()] == [("Arial", 0.8346, 0.1654, True, False)]
+    measured = spark.createDataFrame([("1", "l", 0.9, 0.8, 0.2)], "src string, tgt string, danger double, stable_danger double, cost double")
+    assert tables.edge_weights(measured).columns == tables.weights(spark).columns

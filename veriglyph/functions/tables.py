@@ -16,6 +16,7 @@ import unicodedata
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ALNUM = re.compile(r"[a-z0-9]\Z")
 
@@ -212,6 +213,21 @@ def weights(spark: SparkSession, path: str | None = None) -> DataFrame:
     return _read(spark, path, WEIGHT_SCHEMA).fillna(False)
 
 
+def edge_weights(edges: DataFrame) -> DataFrame:
+    """D3: measured edges (src, tgt, danger, stable_danger, cost and flags) as weights; absent flags are false."""
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in edges.columns else F.lit(False).alias(c) for c in ("glyph_reuse", "xid_continue", "idna_pvalid", "tr39_allowed")]
+    return edges.select("src", "tgt", *[F.col(c).cast("double").alias(c) for c in ("danger", "stable_danger", "cost")], *flags).dropDuplicates(["src", "tgt"])
+
+
+def font_weights(edges: DataFrame, least: float = 0.7) -> DataFrame:
+    """D3: (font, then as weights) of (font, src, tgt, ssim and flags) edges alike enough in a font; danger is the likeness."""
+    danger = F.floor(F.col("ssim") * 10000 + F.lit(0.5)) / 10000
+    cost = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - danger)) * 10000 + F.lit(0.5)) / 10000
+    rows = edges.filter(F.col("ssim") >= least).withColumns({"danger": danger, "stable_danger": danger, "cost": cost})
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in edges.columns else F.lit(False).alias(c) for c in ("xid_continue", "idna_pvalid", "tr39_allowed")]
+    return rows.select("font", "src", "tgt", "danger", "stable_danger", "cost", F.lit(False).alias("glyph_reuse"), *flags).dropDuplicates(["font", "src", "tgt"])
+
+
 def lookalikes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Ranked look-alikes; rank is their order."""
     return spark.createDataFrame(ranked(), LLM_SCHEMA) if path is None else _read(spark, path, LLM_SCHEMA)
