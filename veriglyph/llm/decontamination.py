@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 WINDOW, BROADCAST = 13, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,8 +39,8 @@ def tokens(text: Column) -> Column:
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, wid, length, terms) for each window of each item."""
     items = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), tokens(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
-    cut = items.select("item_id", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - window + 1))).alias("at"))
-    terms = cut.select("item_id", F.slice("ws", F.col("at"), F.lit(window)).alias("terms")).distinct()
+    starts = items.select("item_id", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - window + 1))).alias("at"))
+    terms = starts.select("item_id", F.slice("ws", F.col("at"), F.lit(window)).alias("terms")).distinct()
     return terms.select("item_id", F.xxhash64("item_id", "terms").alias("wid"), F.size("terms").alias("length"), "terms")
 
 
@@ -63,7 +65,7 @@ def rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
     frequency = postings(docs).select("term").join(terms, "term", "left_semi").groupBy("term").count()
     best = F.slice(F.array_sort(F.collect_list(F.struct("count", "offset", "term"))), 1, 2)
     ranked = placed.join(frequency, "term").groupBy("wid", "item_id", "length").agg(F.count("*").alias("met"), best.alias("best")).filter("met = length")
-    return ranked.select("wid", "item_id", "length", F.posexplode("best").alias("rank", "b")).select("wid", "item_id", "length", "rank", "b.offset", "b.term")
+    return cut(ranked.select("wid", "item_id", "length", F.posexplode("best").alias("rank", "b")).select("wid", "item_id", "length", "rank", "b.offset", "b.term"))  # counted once
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, rare: DataFrame) -> DataFrame:
