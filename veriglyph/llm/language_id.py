@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .rolling import buffers, chunks
+from .rolling import buffers, chunks, trim
 
 PER_LANGUAGE, LANGUAGES, LANDMARKS, VOCABULARY, RIDGE = 240, 64, 256, 4096, 1e-4
 ORDERS = (1, 2, 3)
 #: Texts multiplied at a time.
-BATCH = 256
+BATCH = 128
 
 
 def _folded() -> np.ndarray:
@@ -150,14 +150,15 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*[F.col(f"`{k}`").alias(f"c{n}") for n, k in enumerate(keep)], F.col("text").alias("text_"), letters.alias("letters_"))
+    rows = docs.select(*[F.col(f"`{k}`").alias(f"c{n}") for n, k in enumerate(keep)], *([] if "text" in keep else [F.col("text").alias("text_")]), letters.alias("letters_"))
+    source = f"c{keep.index('text')}" if "text" in keep else "text_"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{n}" for n in range(len(keep))]
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            data, offsets = buffers(batch.column("text_"))
+            data, offsets = buffers(batch.column(source))
             found = []
             for i, j in chunks(offsets):
                 for a in range(i, j, BATCH):
@@ -168,6 +169,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             label = np.where(letter, np.array([*model.labels], dtype=object)[f.argmax(axis=1)], "und")
             score = np.where(letter, np.clip((f.max(axis=1).astype(np.float64) + 1) / 2, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(label, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            trim()
 
     kinds = ", ".join(f"c{n} {rows.schema[f'c{n}'].dataType.simpleString()}" for n in range(len(keep)))
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")

@@ -6,6 +6,8 @@ numpy arrays and worked through in chunks of whole documents, so that memory sta
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -123,3 +125,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         x = np.minimum(x[:-s], x[s:])
         s *= 2
     return np.minimum(x[: len(x) - (w - s)], x[w - s :]) if w > s else x
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that workers that wait for their next task stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

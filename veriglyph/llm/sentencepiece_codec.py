@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rolling import Ranges, buffers, byte_codes, chunks
+from .rolling import Ranges, buffers, byte_codes, chunks, trim
 
 #: Bytes of distinct parts indexed at a time, parts relaxed one by one beyond so many bytes, and cached borders.
-INDEX, LONG, CACHE = 1 << 19, 96, 1 << 20
+INDEX, LONG, CACHE = 1 << 18, 96, 1 << 20
 _NEVER = np.int64(1) << np.int64(40)
 
 
@@ -285,13 +285,13 @@ def _spelled(voc: Vocabulary, tokens: np.ndarray, text: bytes, spaces: int) -> l
     return out
 
 
-def encode(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of rows that adjoin in ``data``, and the rows' offsets in them."""
+def split(data: np.ndarray, offsets: np.ndarray):
+    """Of rows that adjoin in ``data``: their bytes with a space before each, each part's start, end and hash, the rows that aren't
+    empty, and the first part of each; none if all are empty."""
     rows = np.diff(offsets)
     some = np.flatnonzero(rows)
-    none = np.zeros(len(rows) + 1, np.int64)
     if not len(some):
-        return np.zeros(0, np.int32), none
+        return None
     raw = data[offsets[0] : offsets[-1]]
     if b"\xe2\x96\x81" in (text := raw.tobytes()):
         texts = [text[a - offsets[0] : b - offsets[0]].replace(b"\xe2\x96\x81", b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -311,36 +311,48 @@ def encode(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return buf, start, end, hashes, some, np.searchsorted(start, head)
 
 
+class Encoded:
+    """A batch's rows, each distinct part matched once; ids are put together for as many rows as are asked for."""
+
+    def __init__(self, voc: Vocabulary, data: np.ndarray, offsets: np.ndarray):
+        hashes, firsts, lengths, texts, rows = [], [], [], [], np.zeros(len(offsets) - 1, np.int64)
+        for i, j in chunks(offsets):
+            got = split(data, offsets[i : j + 1])
+            if got is None:
+                continue
+            buf, start, end, h, some, first = got
+            rows[i + some] = np.diff(np.append(first, len(start)))
+            _, one = np.unique(h, return_index=True)
+            length = (end - start)[one]
+            index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[one], length)
+            hashes.append(h)
+            firsts.append(h[one])
+            lengths.append(length)
+            texts.append(buf[index])
+        self.words = np.concatenate([[0], np.cumsum(rows)])
+        self.ids, self.at, self.part = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        if hashes:
+            length = np.concatenate(lengths)
+            where = np.cumsum(length) - length
+            distinct, one = np.unique(np.concatenate(firsts), return_index=True)
+            length, where = length[one], where[one]
+            index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(where, length)
+            text = np.concatenate(texts)[index]
+            self.ids, self.at = encode_parts(voc, text, np.concatenate([[0], np.cumsum(length)]))
+            self.part = np.concatenate([np.searchsorted(distinct, h).astype(np.int32) for h in hashes])
+
+    def rows(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows i to j, and the rows' offsets in them."""
+        part = self.part[self.words[i] : self.words[j]]
+        count = (self.at[part + 1] - self.at[part]).astype(np.int32)
+        sums = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        index = np.arange(sums[-1], dtype=np.int32) + np.repeat((self.at[part] - sums[:-1]).astype(np.int32), count)
+        return self.ids[index], sums[self.words[i : j + 1] - self.words[i]]
+
+
 def encode_batch(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a batch's rows and the rows' offsets in them; each distinct part is matched once."""
-    n = len(offsets) - 1
-    hashes, lengths, rows, texts = [], [], np.zeros(n, np.int64), []
-    for i, j in chunks(offsets):
-        got = encode(voc, data, offsets[i : j + 1])
-        if len(got) == 2:
-            continue
-        buf, start, end, h, some, first = got
-        rows[i + some] = np.diff(np.append(first, len(start)))
-        _, one = np.unique(h, return_index=True)
-        length = (end - start)[one]
-        index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[one], length)
-        hashes.append(h)
-        lengths.append((h[one], length))
-        texts.append(buf[index])
-    if not hashes:
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-    every = np.concatenate([x for x, _ in lengths])
-    length = np.concatenate([x for _, x in lengths])
-    where = np.cumsum(length) - length
-    distinct, one = np.unique(every, return_index=True)
-    text, length, where = np.concatenate(texts), length[one], where[one]
-    index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(where, length)
-    ids, at = encode_parts(voc, text[index], np.concatenate([[0], np.cumsum(length)]))
-    part = np.searchsorted(distinct, np.concatenate(hashes))
-    count = at[part + 1] - at[part]
-    index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[part], count)
-    sums = np.concatenate([[0], np.cumsum(count)])
-    return ids[index], sums[np.concatenate([[0], np.cumsum(rows)])]
+    """The ids of a batch's rows and the rows' offsets in them."""
+    return Encoded(voc, data, offsets).rows(0, len(offsets) - 1)
 
 
 def decode_batch(voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,24 +365,28 @@ def decode_batch(voc: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple
     return np.delete(out, head), at - np.searchsorted(head, at)
 
 
-def _parts(batch: pa.RecordBatch, most: int = 24 << 20):
-    """A batch's rows in runs of bounded text."""
-    data, offsets = buffers(batch.column("text_"))
-    for i, j in chunks(offsets, most):
-        yield i, j, data, offsets[i : j + 1]
+def _parts(voc: Vocabulary, column: pa.Array, most: int = 8 << 20):
+    """(i, j, ids, offsets) for a column's rows in runs of bounded text, matched a larger run at a time."""
+    data, offsets = buffers(column)
+    for a, b in chunks(offsets, most):
+        made = Encoded(voc, data, offsets[a : b + 1])
+        for i, j in chunks(offsets[a : b + 1]):
+            yield a + i, a + j, *made.rows(i, j)
+        del made
+        trim()
 
 
 def tokenize(docs: DataFrame, path: str | None = None, column: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` (array<int>; replaced if there) for the text ``column``."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
     names = [c for c in docs.columns if c != ids]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)], F.col(f"`{column}`").alias("text_"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)], *([F.col(f"`{column}`").alias("text_")] if column == ids else []))
+    source = "text_" if column == ids else f"c{names.index(column)}"
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in _parts(batch):
-                got, at = encode_batch(shared.value, data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got), mask=batch.column("text_")[i:j].is_null())
+            for i, j, got, at in _parts(shared.value, batch.column(source)):
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got), mask=batch.column(source)[i:j].is_null())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f"c{n}")[i:j] for n in range(len(names))), lists], names=[*(f"c{n}" for n in range(len(names))), "ids"])
 
     kinds = ", ".join(f"c{n} {rows.schema[f'c{n}'].dataType.simpleString()}" for n in range(len(names)))
@@ -406,18 +422,16 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             doc, null = batch.column("doc_id").to_pylist(), batch.column("text_").is_null().to_pylist()
-            for i, j, data, offsets in _parts(batch):
-                ids, at = encode_batch(shared.value, data, offsets)
-                rows = []
-                for a, b in chunks(at * 4):
-                    out, bounds = decode_batch(shared.value, ids[at[a] : at[b]], at[a : b + 1] - at[a])
-                    text, coded = out.tobytes(), ids[at[a] : at[b]].astype("<i4").tobytes()
-                    for r in range(a, b):
-                        if null[i + r]:
-                            rows.append((doc[i + r], None, None, None, None))
-                            continue
-                        got = text[bounds[r - a] : bounds[r - a + 1]]
-                        rows.append((doc[i + r], int(at[r + 1] - at[r]), hashlib.sha256(coded[4 * (at[r] - at[a]) : 4 * (at[r + 1] - at[a])]).hexdigest(), hashlib.sha256(got).hexdigest(), got == data[offsets[r] : offsets[r + 1]].tobytes()))
+            data, offsets = buffers(batch.column("text_"))
+            for i, j, ids, at in _parts(shared.value, batch.column("text_")):
+                out, bounds = decode_batch(shared.value, ids, at)
+                text, coded, rows = out.tobytes(), ids.astype("<i4").tobytes(), []
+                for r in range(j - i):
+                    if null[i + r]:
+                        rows.append((doc[i + r], None, None, None, None))
+                        continue
+                    got = text[bounds[r] : bounds[r + 1]]
+                    rows.append((doc[i + r], int(at[r + 1] - at[r]), hashlib.sha256(coded[4 * at[r] : 4 * at[r + 1]]).hexdigest(), hashlib.sha256(got).hexdigest(), got == data[offsets[i + r] : offsets[i + r + 1]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text_"))
