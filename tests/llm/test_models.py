@@ -58,8 +58,8 @@ def toxic_table(spark, n=600):
 
 def test_held_out_toxicity(spark):
     docs, labels, truth = toxic_table(spark)
-    train = toxicity.labelled(docs, labels).filter("doc_id % 4 <> 2")
-    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(train)).collect()}
+    model = toxicity.fit(docs, labels.filter("doc_id % 4 <> 2"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     held = [(got[d], y) for d, y in truth.items() if d % 4 == 2]
     assert auc(held) > 0.97
     assert sum((s >= toxicity.THRESHOLD) == bool(y) for s, y in held) / len(held) > 0.95
@@ -67,17 +67,16 @@ def test_held_out_toxicity(spark):
 
 def test_toxicity_of_awkward_rows(spark):
     docs, labels, _ = toxic_table(spark, 80)
-    model = toxicity.fit(toxicity.labelled(docs, labels))
+    model = toxicity.fit(docs, labels)
     mine = documents(spark)
     got = toxicity.score(mine, model).collect()
     assert len(got) == mine.count() and all(0 <= r.score <= 1 for r in got)
     odd = spark.createDataFrame([(1, 2), (1, None), (None, 1), (99999, 1)], "doc_id long, toxic int")
-    assert toxicity.labelled(docs, odd).count() == 0
-    assert {r.score < 1e-9 for r in toxicity.score(docs, toxicity.fit(toxicity.labelled(docs, odd))).collect()} == {True}
-    only = toxicity.fit(toxicity.labelled(docs, labels.withColumn("toxic", labels.toxic * 0 + 1)))
+    assert {r.score < 1e-9 for r in toxicity.score(docs, toxicity.fit(docs, odd)).collect()} == {True}
+    only = toxicity.fit(docs, labels.withColumn("toxic", labels.toxic * 0 + 1))
     assert min(r.score for r in toxicity.score(docs, only).collect()) > 0.99
     twice = labels.union(spark.createDataFrame([(0, 1), (0, 0)], "doc_id long, toxic int"))
-    assert toxicity.labelled(docs, twice).filter("doc_id = 0").collect()[0].toxic == 1
+    assert toxicity.chosen_labels(twice)[0].filter("doc_id = 0").collect()[0].toxic == 1
     assert toxicity.score(spark.createDataFrame([], SCHEMA), model).count() == 0
 
 

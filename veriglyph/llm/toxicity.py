@@ -5,7 +5,7 @@ one space) that are present in it, hashed to 2**20 numbers. Counting how many to
 gives its ratio r; the ``chosen`` features that tell the classes apart best (by their share in the two classes) are
 kept, and logistic regression with an L2 penalty is fitted to presence times r.
 
-Bounds, all parameters: counts and weights are learnt from at most ``sample`` labelled rows of each class, those with
+Bounds, all parameters: counts and weights are learnt from about ``sample`` labelled rows of each class, those with
 the smallest hashes of doc_id. Every whole text is scored.
 
 Defined results: null or empty text has no n-grams and gets the model's base rate; labels that are null or not 0/1,
@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import cut
 from .language_id import held_out
 from .rolling import buffers, chunks
 
@@ -105,16 +106,26 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at].astype(np.int64)), pa.array(total[1, at].astype(np.int64))], schema=schema)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, chosen: int = CHOSEN, smooth: float = SMOOTH, penalty: float = PENALTY) -> Model:
-    """A model of (doc_id, text, toxic). Executors count and extract; bounded arrays reach the driver."""
-    spark = rows.sparkSession
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    neg, pos = (min(sizes.get(k, 0), sample) for k in (0, 1))
+def chosen_labels(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic) of about ``sample`` labelled documents of each class, by a uniform hash of doc_id; and the classes' sizes."""
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    share = F.lit(0.0)
+    for k, n in sizes.items():
+        share = F.when(F.col("toxic") == k, min(1.0, sample / n)).otherwise(share)
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40)), sizes
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chosen: int = CHOSEN, smooth: float = SMOOTH, penalty: float = PENALTY) -> Model:
+    """A model of labels (doc_id, toxic). The chosen labels are broadcast (some 2 x ``sample`` rows), so that texts aren't
+    shuffled; executors count and extract; bounded arrays reach the driver."""
+    spark = docs.sparkSession
+    known, sizes = chosen_labels(labels, sample)
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(known)), "doc_id")
+    found = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
+    neg, pos = found.get(0, 0), found.get(1, 0)
     if not neg or not pos:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 50.0 if pos else -50.0)
-    cuts = F.expr("case toxic " + " ".join(f"when {k} then {min(1.0, sample / sizes[k])}D" for k in (0, 1)) + " end")
-    # a uniform hash below the class's share; about ``sample`` rows each
-    train = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < cuts * float(1 << 40))
     counted = train.mapInArrow(_counts, "feature int, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     share = F.abs(F.col("pos") / F.lit(pos) - F.col("neg") / F.lit(neg)) / F.sqrt((F.col("pos") + F.col("neg") + 1) / F.lit(neg + pos))
     best = sorted(counted.orderBy(share.desc(), "feature").limit(chosen).collect())
@@ -131,8 +142,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, chosen: int = CHOSEN, smooth: flo
             bits = [np.packbits(model.presence(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])).astype(bool)).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(bits, pa.binary())], names=["doc_id", "toxic", "bits"])
 
-    kind = rows.schema["toxic"].dataType.simpleString()
-    got = sorted(train.select("doc_id", "text", "toxic").mapInArrow(extract, f"doc_id long, toxic {kind}, bits binary").collect())
+    got = sorted(train.select("doc_id", "text", "toxic").mapInArrow(extract, "doc_id long, toxic int, bits binary").collect())
     x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(features)].astype(np.float32) * ratio.astype(np.float32)
     y = np.array([r.toxic for r in got], float)
     # classes were sampled at their own shares: weights bring back the rates of all labelled rows
@@ -161,12 +171,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float, r
     return w, b
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents that may be learnt from."""
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -187,5 +191,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    model = fit(labelled(docs, labels.filter(~held_out(4, 2))))
+    model = fit(docs, labels.filter(~held_out(4, 2)))
     return score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
