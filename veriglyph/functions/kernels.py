@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -153,24 +154,36 @@ def _first(found: list[str], options: list[str], most: int) -> list[str]:
     return list(out)
 
 
-TOKEN = r"[\p{L}\p{N}\p{M}_]"
+def _ranges(kinds: str, extra: str) -> str:
+    """A character class of the general categories that begin with one of ``kinds``, and ``extra``."""
+    out, first = [re.escape(extra)], None
+    for cp in range(sys.maxunicode + 2):
+        inside = cp <= sys.maxunicode and unicodedata.category(chr(cp))[0] in kinds
+        if inside and first is None:
+            first = cp
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{cp - 1:08x}")
+            first = None
+    return "[" + "".join(out) + "]"
 
 
-def is_word(ch: str) -> bool:
-    return ch == "_" or unicodedata.category(ch)[0] in "LNM"
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    """Maximal runs of letters, digits, marks and underscores."""
+    return re.compile(_ranges("LNM", "_") + "+")
 
 
-def word_tokens(text: str):
-    """(start, word) of each maximal run of letters, digits, marks and underscores."""
-    start = None
-    for k, ch in enumerate(text):
-        if is_word(ch):
-            start = k if start is None else start
-        elif start is not None:
-            yield start, text[start:k]
-            start = None
-    if start is not None:
-        yield start, text[start:]
+def marked_words(text: str, entries: dict):
+    """(start, word) of each word that holds a character of ``entries``."""
+    marks = [k for k, c in enumerate(text) if c in entries]
+    at = 0
+    for m in word_pattern().finditer(text) if marks else ():
+        while at < len(marks) and marks[at] < m.start():
+            at += 1
+        if at == len(marks):
+            return
+        if marks[at] < m.end():
+            yield m.start(), m.group()
 
 
 def scripts_of(word: str) -> tuple[bool, bool]:
@@ -187,7 +200,7 @@ def cased(source: str, latin: str) -> str:
 def canonicalise(text: str, entries: dict[str, tuple], everywhere: bool) -> str:
     """Look-alikes replaced: in all words, or in those with a Latin letter."""
     out, was = [], 0
-    for start, word in word_tokens(text):
+    for start, word in marked_words(text, entries):
         if not everywhere and not scripts_of(word)[0]:
             continue
         out += [text[was:start], "".join(cased(c, entries[c][0]) if c in entries else c for c in word)]
@@ -200,10 +213,8 @@ def scan(text: str, entries: dict[str, tuple], everywhere: bool, terms: list[str
     findings, mixed_words, targeted, words = [], set(), set(), set()
     wide = 0
     astral = [k for k, c in enumerate(text) if ord(c) > 0xFFFF]
-    for start, word in word_tokens(text):
+    for start, word in marked_words(text, entries):
         hits = [(k, c) for k, c in enumerate(word) if c in entries]
-        if not hits:
-            continue
         latin, other = scripts_of(word)
         mixed = latin and other
         for k, c in hits:

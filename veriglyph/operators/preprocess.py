@@ -58,7 +58,9 @@ class ScanOptions:
 
 
 def _any_of(entries: dict) -> str:
-    return "[" + "".join(re.sub(r"([\[\]\\^&-])", r"\\\1", c) for c in sorted(entries)) + "]"
+    """A class of the characters; one range is tried first, which few characters of most texts get past."""
+    listed = "".join(re.sub(r"([\[\]\\^&-])", r"\\\1", c) for c in sorted(entries))
+    return rf"[\x{{{ord(min(entries)):X}}}-\x{{{ord(max(entries)):X}}}&&[{listed}]]"
 
 
 def canonicalise(c, options: ScanOptions | None = None) -> Column:
