@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .durable import components, cut
 from .repeats import _whole
-from .rolling import Ranges, buffers, chunks, mix, words
+from .rolling import Ranges, buffers, chunks, lean, mix, words
 
 SHINGLE, NUM, DEN = 5, 85, 100
 MINIMA, ROWS, BITS = 96, 4, 4
@@ -241,7 +241,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    found = cut(docs.mapInArrow(features(shingle), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"))
+    found = cut(docs.mapInArrow(lean(features(shingle)), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"))
     classes = cut(found.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
     members = classes.select(F.col("class_id").alias("a"), "n", "h1", "h2")
     first = found.filter("n > 0").join(members, (found.doc_id == members.a) & (found.n == members.n) & (found.h1 == members.h1) & (found.h2 == members.h2), "left_semi")
@@ -249,29 +249,29 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     shared = bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one < other").select("key", "size")
     bucketed = cut(bucketed.join(shared, "key").select("key", "size", F.col("doc_id").alias("a")))
     known = cut(first.join(bucketed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "n", "sig", "bands").dropDuplicates(["a"]))
-    sets = cut(docs.join(known.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, hashes binary").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")))
+    sets = cut(docs.join(known.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets(shingle)), "doc_id long, hashes binary").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = sets.selectExpr("doc_id as a", "hashes as xs"), sets.selectExpr("doc_id as b", "hashes as ys")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(_confirm(num, den), "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(lean(_confirm(num, den)), "a long, b long")
 
     score = bucketed.groupBy("a").agg(F.sum("size").alias("score"))
     hubs = bucketed.join(score, "a").groupBy("key").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("h")).select("key", (-F.col("h.a")).alias("b"))
     star = bucketed.join(hubs, "key").filter("a <> b").select("a", "b").distinct()
     other = known.selectExpr("a as b", "n as nb", "sig as sb")
     star = star.join(known.selectExpr("a", "n as na", "sig as sa"), "a").join(other, "b")
-    links = cut(confirmed(star.mapInArrow(likely(num, den), "a long, b long")))
+    links = cut(confirmed(star.mapInArrow(lean(likely(num, den)), "a long, b long")))
     labels = components(links)
     placed = bucketed.join(labels.selectExpr("node as a", "component"), "a", "left").select("key", "size", "a", F.coalesce("component", "a").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     rest = cut(placed.join(open_keys, "key", "left_semi").join(known, "a"))
     one = rest.filter(F.col("size") <= SMALL).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "a", "component", "n", "sig", "bands")
-    pairs = one.repartition(parts, "key").mapInArrow(pairs_of_small(num, den), "a long, b long")
+    pairs = one.repartition(parts, "key").mapInArrow(lean(pairs_of_small(num, den)), "a long, b long")
     across = F.ceil(F.col("size") / BLOCK).cast("int")
     large = rest.filter(F.col("size") > SMALL).withColumn("at", F.pmod(F.xxhash64("a"), across).cast("int"))
     large = large.join(sets.select(F.col("doc_id").alias("a"), "hashes"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
     large = large.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"), "a", "component", "n", "sig", "bands", "hashes")
-    met = large.repartition(parts, "key", "i", "j").mapInArrow(links_of_large(num, den), "a long, b long")
+    met = large.repartition(parts, "key", "i", "j").mapInArrow(lean(links_of_large(num, den)), "a long, b long")
     more = cut(confirmed(pairs).union(met))
     if not more.isEmpty():
         labels = components(links.union(more))

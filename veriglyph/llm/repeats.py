@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import CHUNK, Ranges, buffers, byte_codes, chunks, mix, sliding_min, words
+from .rolling import Ranges, buffers, byte_codes, chunks, lean, mix, sliding_min, words
 
 _ROW = "akey long, ctx long, doc_id long, meta long"
 _SEGMENT = "akey long, doc_id long, meta long, seg binary"
@@ -288,9 +288,9 @@ def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, me
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    found = docs.mapInArrow(anchors(unit, window, seed, strict), _ROW).repartition(n, "akey").mapInArrow(classes(strict, hot), _ROW)
+    found = docs.mapInArrow(lean(anchors(unit, window, seed, strict)), _ROW).repartition(n, "akey").mapInArrow(lean(classes(strict, hot)), _ROW)
     dealt = docs.repartition(n, "doc_id")
     items = found.groupBy("doc_id").agg(F.collect_list(F.struct("akey", "meta")).alias("items"))
-    cut = dealt.join(items.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items").mapInArrow(segments(unit, window, strict), _SEGMENT)
-    spans = cut.repartition(n, "akey").mapInArrow(refine(window, method, unit, strict), "doc_id long, lo long, hi long")
+    cut = dealt.join(items.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items").mapInArrow(lean(segments(unit, window, strict)), _SEGMENT)
+    spans = cut.repartition(n, "akey").mapInArrow(lean(refine(window, method, unit, strict)), "doc_id long, lo long, hi long")
     return dealt, spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -132,3 +132,13 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """``run`` over batches, after which what it freed is given back."""
+
+    def through(batches):
+        yield from run(batches)
+        trim()
+
+    return through

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .repeats import HOT, _lists, merged, mix, repeats
+from .rolling import lean
 
 WINDOW, SEED = 13, 5
 
@@ -85,7 +86,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts
     dealt, spans = repeats(docs, "word", window, seed, True, extend(window, seed), hot)
     joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     more = ", kept string, spans array<array<long>>" if texts else ""
-    return joined.mapInArrow(_kept(texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + more)
+    return joined.mapInArrow(lean(_kept(texts)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + more)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

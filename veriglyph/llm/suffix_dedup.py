@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .repeats import HOT, _lists, merged, repeats
-from .rolling import Ranges, byte_codes
+from .rolling import Ranges, byte_codes, lean
 
 WINDOW, SEED, GRAM = 100, 32, 10
 
@@ -154,7 +154,7 @@ def removed_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gram:
     dealt, spans = repeats(docs, "byte", window, seed, False, by_collection(window, gram), hot)
     joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     more = ", kept binary, text string, spans array<array<long>>" if texts else ""
-    return joined.mapInArrow(_kept(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    return joined.mapInArrow(lean(_kept(texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
