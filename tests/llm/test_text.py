@@ -65,6 +65,14 @@ def test_texts_of_one_doc_id_are_judged_apart(spark):
     assert {r.doc_id for r in near} >= {1}
 
 
+def test_repeated_rows_are_judged_like_single_ones(spark):
+    copied, short = (1, "a b c d e f g h i j k l m tail"), (2, "z")
+    docs = spark.createDataFrame([copied, copied, copied, short, short, (3, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d e f g h i j k l m"), (8, "z")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, r.contaminated) for r in decontamination.decontaminate(docs, items).collect())
+    assert got == [(1, 13, True)] * 3 + [(2, 1, True)] * 2 + [(3, 0, False)]
+
+
 def test_empty_decontamination(spark):
     frame, _ = benchmark(spark)
     assert decontamination.decontaminate(spark.createDataFrame([], SCHEMA), frame).count() == 0

@@ -71,8 +71,8 @@ def rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, windows: DataFrame, rare: DataFrame) -> DataFrame:
     """(doc_id, version, wid, item_id, start, length): every exact occurrence of a window."""
     rare = _small(rare)
-    shifted = postings(docs).join(rare, "term").select("doc_id", "version", "wid", "item_id", "length", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
-    likely = shifted.groupBy("doc_id", "version", "wid", "item_id", "length", "start").agg(F.count("*").alias("met")).filter("met = least(2, length)").drop("met")
+    shifted = postings(docs).join(rare, "term").select("doc_id", "version", "wid", "item_id", "length", "rank", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
+    likely = shifted.groupBy("doc_id", "version", "wid", "item_id", "length", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met")).filter("bit_count(met) = least(2, length)").drop("met")  # ranks, whatever the copies of a row
     wanted = likely.join(F.broadcast(windows.select("wid", "item_id", "terms")), ["wid", "item_id"]) if windows.limit(BROADCAST + 1).count() <= BROADCAST else likely.join(windows.select("wid", "item_id", "terms"), ["wid", "item_id"])
     wanted = wanted.select("doc_id", "version", "wid", "item_id", "length", "start", F.posexplode("terms").alias("offset", "term")).withColumn("position", F.col("start") + F.col("offset"))
     held = docs.join(likely.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
