@@ -12,20 +12,16 @@ from pyspark.sql import functions as F
 from veriglyph.llm import decontamination, language_id, minhash_dedup, sentencepiece_codec, suffix_dedup
 from veriglyph.llm.durable import cut
 
-#: Texts with a lower score resemble no language that was learnt.
-LEAST_SCORE = 0.25
-
-
 def _ids(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias(name))
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: null and letterless texts and those of no known language go."""
+    """Operator 10: null and letterless texts and those whose n-grams no learnt language has go; very short ones get the benefit of the doubt."""
     names = docs.columns
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    found = language_id.predict(docs, model, names).toDF(*[f"c{k}" for k in range(len(names))], "label_", "score_")
-    return found.filter((F.col("label_") != "und") & (F.col("score_") >= LEAST_SCORE)).drop("label_", "score_").toDF(*names)
+    found = language_id.predict(docs, model, names, resemblance=True).toDF(*[f"c{k}" for k in range(len(names))], "label_", "score_", "resembles_")
+    return found.filter((F.col("label_") != "und") & F.col("resembles_")).drop("label_", "score_", "resembles_").toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,15 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r.doc_id for r in coded} == want and all(r.n_tokens == len(r.ids) for r in coded)
 
 
+def test_texts_in_unlearnt_scripts_go(spark, sf):
+    names = ["doc_id", "text", "lang"]
+    clean = spark.read.parquet(f"{sf}/documents.parquet").select(*names)
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю", "我们在北京的大学里学习中文和历史", "Η γλώσσα αυτή δεν διδάχθηκε ποτέ", "привет", "שלום לכולם, מה שלומכם היום", "булок " * 3000]
+    added = spark.createDataFrame([(-k - 1, t, None) for k, t in enumerate(foreign)], clean.schema)
+    got = {r.doc_id for r in corpus_pipeline.identify(spark, clean.union(added), sf).collect()}
+    assert got == {r.doc_id for r in clean.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     benchmark(spark)[0].write.parquet(f"{tmp_path}/benchmark.parquet")
     empty = spark.createDataFrame([], SCHEMA)

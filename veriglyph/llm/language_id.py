@@ -29,6 +29,10 @@ PER_LANGUAGE, LANGUAGES, LANDMARKS, VOCABULARY, RIDGE = 240, 64, 256, 4096, 1e-4
 ORDERS = (1, 2, 3)
 #: Texts multiplied at a time.
 BATCH = 128
+#: N-grams of spaces alone, which tell nothing.
+BLANK = {n: int.from_bytes(b" " * n, "big") for n in ORDERS}
+#: A text resembles a label with this part of its training texts' share of known n-grams, less by DOUBT / sqrt(distinct n-grams).
+LEAST_KNOWN, DOUBT, QUANTILE = 0.75, 4, 0.05
 
 
 def _folded() -> np.ndarray:
@@ -63,6 +67,7 @@ class Model:
     vocabulary: list[np.ndarray]  # sorted codes for each order
     landmarks: np.ndarray  # (landmarks, vocabulary), scaled
     weights: np.ndarray  # (landmarks, labels)
+    usual: np.ndarray  # (labels): the share of known n-grams that most training texts of a label exceed
 
     def tables(self) -> list[np.ndarray]:
         """For each order, each code's column or the count of columns."""
@@ -87,6 +92,28 @@ class Model:
             out[row.astype(np.int64) * width + table[code]] = 1
         return scaled(out.reshape(rows, width)[:, :-1], self.vocabulary)
 
+    def known(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the share of its n-grams that the vocabulary has, mean of the orders, and the number of distinct ones."""
+        rows = len(offsets) - 1
+        shares, distinct, orders = np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        for (n, code, row), table in zip(grams(buf, offsets), self.tables(), strict=False):
+            some = code != BLANK[n]
+            code, row = code[some], row[some].astype(np.int64)
+            column, count = table[code], np.bincount(row, minlength=rows)
+            inside = column < self.size
+            shares += np.bincount(row[inside], minlength=rows) / np.maximum(count, 1)
+            orders += count > 0
+            held = np.zeros(rows * (self.size + 1), bool)
+            held[row[inside] * (self.size + 1) + column[inside]] = True
+            other = np.unique(row[~inside] << 32 | code[~inside].astype(np.int64)) >> 32
+            distinct += held.reshape(rows, -1).sum(axis=1) + np.bincount(other, minlength=rows)
+        return shares / np.maximum(orders, 1), distinct
+
+    def resembles(self, buf: np.ndarray, offsets: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each row has about as many known n-grams as texts of its best label; few n-grams are a weak sign and need fewer."""
+        share, distinct = self.known(buf, offsets)
+        return share >= LEAST_KNOWN * self.usual[best] * (1 - DOUBT / np.sqrt(np.maximum(distinct, 1)))
+
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.presence(buf, offsets) @ self.landmarks.T @ self.weights
 
@@ -102,15 +129,26 @@ def scaled(x: np.ndarray, vocabulary: list[np.ndarray]) -> np.ndarray:
 
 
 def _present(batches):
-    """Each text's distinct n-grams, as 32-bit codes with their order in the top byte."""
-    schema = pa.schema([("lang", pa.string()), ("codes", pa.binary())])
+    """Each text's distinct n-grams, as 32-bit codes with their order in the top byte, and how often each occurs."""
+    schema = pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        found = []
+        found, often = [], []
         for i in range(batch.num_rows):
-            parts = [np.unique(code) | np.uint32(n << 24) for n, code, _ in grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))]
-            found.append(np.concatenate(parts).tobytes() if parts else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), pa.array(found, pa.binary())], schema=schema)
+            parts = [(n, *np.unique(code, return_counts=True)) for n, code, _ in grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))]
+            found.append(np.concatenate([codes | np.uint32(n << 24) for n, codes, _ in parts]).tobytes() if parts else b"")
+            often.append(np.concatenate([count for _, _, count in parts]).astype(np.int64).tobytes() if parts else b"")
+        yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), pa.array(found, pa.binary()), pa.array(often, pa.binary())], schema=schema)
+
+
+def _share(codes: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray) -> float:
+    """The share of a text's n-grams that the vocabulary has, mean of the orders, as ``Model.known`` gives it."""
+    shares = []
+    for n in ORDERS:
+        some = (codes >> 24 == n) & (codes != (n << 24 | BLANK[n]))
+        if some.any():
+            shares.append(counts[some & np.isin(codes, vocabulary)].sum() / counts[some].sum())
+    return float(np.mean(shares)) if shares else 0.0
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, landmarks: int = LANDMARKS, vocabulary: int = VOCABULARY, ridge: float = RIDGE) -> Model | None:
@@ -122,7 +160,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.filter(F.col("lang").isin(common)).select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).collect()
     rows = known.filter(F.col("doc_id").isin([r.doc_id for r in chosen])).filter(F.col("lang").isin(common)).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
-    rows = [(r.lang, np.frombuffer(r.codes, np.uint32)) for r in rows.mapInArrow(_present, "lang string, codes binary").collect()]
+    rows = [(r.lang, np.frombuffer(r.codes, np.uint32), np.frombuffer(r.counts, np.int64)) for r in rows.mapInArrow(_present, "lang string, codes binary, counts binary").collect()]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))
     labels = sorted({r[0] for r in rows})
     each, marks = max(1, landmarks // len(labels)), []
@@ -132,7 +170,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     codes = np.sort(codes[np.lexsort((codes, -count))[:vocabulary]])
     split = [codes[codes >> 24 == n] & np.uint32(0xFFFFFF) for n in ORDERS]
     x = np.zeros((len(rows), len(codes)), np.float32)
-    for k, (_, present) in enumerate(rows):
+    for k, (_, present, _) in enumerate(rows):
         at = np.searchsorted(codes, present)
         at[at == len(codes)] = 0
         x[k, at[codes[at] == present]] = 1
@@ -141,38 +179,44 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     k_nm, k_mm = (x @ marked.T).astype(np.float64), (marked @ marked.T).astype(np.float64)
     y = np.where(np.array([r[0] for r in rows])[:, None] == np.array(labels), 1.0, -1.0)
     weights = np.linalg.lstsq(k_nm.T @ k_nm + ridge * len(rows) * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ y, rcond=None)[0]
-    return Model(labels, split, marked, weights.astype(np.float32))
+    shares = [[_share(present, counts, codes) for label, present, counts in rows if label == x and len(present)] for x in labels]
+    return Model(labels, split, marked, weights.astype(np.float32), np.array([np.quantile(s, QUANTILE) if s else 0.0 for s in shares]))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default doc_id), then lang_pred and score, for each row."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, resemblance: bool = False) -> DataFrame:
+    """The columns ``keep`` (default doc_id), then lang_pred and score, for each row; with ``resemblance`` also ``resembles``, false for texts unlike all that was learnt."""
     keep = ["doc_id"] if keep is None else keep
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(False).alias("resembles")] * resemblance)
     rows = docs.select(*[F.col(f"`{k}`").alias(f"c{n}") for n, k in enumerate(keep)], *([] if "text" in keep else [F.col("text").alias("text_")]), letters.alias("letters_"))
     source = f"c{keep.index('text')}" if "text" in keep else "text_"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{n}" for n in range(len(keep))]
+    out = ["lang_pred", "score", *["resembles"] * resemblance]
 
     def run(batches):
         model = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column(source))
-            found = []
+            found, like = [], []
             for i, j in chunks(offsets):
                 for a in range(i, j, BATCH):
                     b = min(j, a + BATCH)
-                    found.append(model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                    part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    found.append(model.score(*part))
+                    if resemblance:
+                        like.append(model.resembles(*part, found[-1].argmax(axis=1)))
             f = np.concatenate(found) if found else np.zeros((0, len(model.labels)))
             letter = batch.column("letters_").to_numpy(zero_copy_only=False).astype(bool)
             label = np.where(letter, np.array([*model.labels], dtype=object)[f.argmax(axis=1)], "und")
             score = np.where(letter, np.clip((f.max(axis=1).astype(np.float64) + 1) / 2, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(label, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            more = [pa.array(letter & np.concatenate([np.zeros(0, bool), *like]))] if resemblance else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(label, pa.string()), pa.array(score), *more], names=[*names, *out])
             trim()
 
     kinds = ", ".join(f"c{n} {rows.schema[f'c{n}'].dataType.simpleString()}" for n in range(len(keep)))
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double" + ", resembles boolean" * resemblance).toDF(*keep, *out)
 
 
 def held_out(mod: int, rest: int):
