@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from veriglyph.llm import decontamination, language_id, minhash_dedup, sentencepiece_codec, suffix_dedup
 from veriglyph.llm.durable import cut
 
-def _ids(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.col("doc_id").cast("long").alias(name))
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: null and letterless texts and those whose n-grams no learnt language has go; very short ones get the benefit of the doubt."""
@@ -24,19 +21,33 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("label_") != "und") & F.col("resembles_")).drop("label_", "score_", "resembles_").toDF(*names)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text, with ``key_``: its own number, in the order of doc_id. Without repeated doc_ids, doc_id itself."""
+    docs = docs.filter("doc_id is not null").withColumn("key_", F.col("doc_id").cast("long"))
+    if docs.groupBy("key_").count().filter("count > 1").isEmpty():
+        return docs
+    docs = docs.withColumn("version_", F.xxhash64("text"))
+    order = docs.select("key_", "version_").distinct().repartitionByRange("key_", "version_").sortWithinPartitions("key_", "version_")
+    order = cut(order.withColumn("number_", F.monotonically_increasing_id()))
+    single = docs.dropDuplicates(["key_", "version_"]).join(order, ["key_", "version_"])
+    return cut(single.drop("key_", "version_").withColumnRenamed("number_", "key_"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each component the document of smallest doc_id stays."""
-    kept = _ids(minhash_dedup.near_components(docs).filter("kept"), "kept_")
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["kept_"], "left_semi")
+    """Operator 2: of each component one document of the smallest doc_id stays; texts that share a doc_id are documents each."""
+    docs = _keyed(docs)
+    kept = minhash_dedup.near_components(docs.select(F.col("key_").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("kept_"))
+    return docs.join(kept, docs["key_"] == kept["kept_"], "left_semi").drop("key_")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: later copies of 100 bytes or more leave the texts, whole characters at a time."""
-    left = suffix_dedup.removed_bytes(docs, texts=True).select(F.col("doc_id").alias("id_"), F.col("text").alias("left_")).dropDuplicates(["id_"])
+    names, docs = docs.columns, _keyed(docs)
+    left = suffix_dedup.removed_bytes(docs.select(F.col("key_").alias("doc_id"), "text"), texts=True).select(F.col("doc_id").alias("id_"), F.col("text").alias("left_"))
     rest = docs.drop("text")
-    joined = rest.join(left, rest["doc_id"].cast("long") == left["id_"])
+    joined = rest.join(left, rest["key_"] == left["id_"])
     new = {"text": F.col("left_"), "n_chars": F.char_length("left_").cast("long")}
-    return joined.select(*[new[c].alias(c) if c in new else rest[c] for c in docs.columns])
+    return joined.select(*[new[c].alias(c) if c in new else rest[c] for c in names])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,24 @@ def test_texts_in_unlearnt_scripts_go(spark, sf):
     assert got == {r.doc_id for r in clean.collect() if any(c.isalpha() for c in r.text or "")}
 
 
+def test_rows_of_one_doc_id_are_documents_each(spark):
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    long, short, other = say("long", 200), say("short", 6), say("other", 50)
+    shared = say("shared", 40)
+    docs = [(1, long), (1, long), (1, short), (2, short), (2, other), (2, other), (3, f"{other} {shared}"), (4, long), (5, shared + " " + say("tail", 9)), (5, "x")]
+    frame = spark.createDataFrame([(d, t, "en") for d, t in docs], "doc_id long, text string, lang string").repartition(3)
+    near = corpus_pipeline.near_dedup(spark, frame, "")
+    want = [(1, long), (1, short), (2, other), (3, f"{other} {shared}"), (5, shared + " " + say("tail", 9)), (5, "x")]
+    assert near.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted(want)
+    exact = corpus_pipeline.exact_dedup(spark, near, "")
+    assert exact.columns == frame.columns
+    order = dict(enumerate(t for _, t in sorted(want)))
+    left = {k: whole_characters(t.encode(), spans(order)[k]).decode() for k, t in order.items()}
+    got = sorted((r.doc_id, r.text) for r in exact.collect())
+    assert left != order and got == sorted((d, left[k]) for k, (d, _) in enumerate(sorted(want)))
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     benchmark(spark)[0].write.parquet(f"{tmp_path}/benchmark.parquet")
     empty = spark.createDataFrame([], SCHEMA)
