@@ -308,6 +308,23 @@ def suggest_compose(spark, d):
     return customers(spark, d).select("c_custkey", F.array_join(F.slice(suggest.resolve(["sequential", "suffix-words"])(F.col("handle")), 1, 4), ",").alias("first"))
 
 
+@query(f"""SELECT handle AS normalized, CASE WHEN c_custkey % 2 = 0 THEN concat_ws(',', handle || '1', handle || '-2', handle || '2') ELSE concat_ws(',', handle || '-1', handle || '1', handle || '-2') END AS suggestions FROM {C}""")
+def suggest_free_all(spark, d):
+    """U7-U9 over every customer; every second name's -1 is taken."""
+    c = customers(spark, d)
+    held = c.select("handle").union(c.filter("c_custkey % 2 = 0").select(F.concat("handle", F.lit("-1"))))
+    guard = NameGuard(spark, Config(sources=(Source("x", held, "handle"),), suggest={"strategy": ["sequential"]}))
+    return guard.check(c.select(F.col("handle").alias("identifier")), skip_suggestions=False).select("normalized", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query(f"""SELECT c_custkey, string_agg(candidate, ',' ORDER BY p, side) AS composed FROM (
+  SELECT c_custkey, 2 * i - 2 + k AS p, 0 AS side, CASE k WHEN 0 THEN handle || '-' || i ELSE handle || i END AS candidate FROM {C}, range(1, 10) t(i), range(2) u(k)
+  UNION ALL SELECT c_custkey, k, 1, handle || '-' || w FROM {C}, (VALUES (0, 'dev'), (1, 'io'), (2, 'app'), (3, 'hq'), (4, 'pro'), (5, 'team'), (6, 'labs'), (7, 'hub'), (8, 'go'), (9, 'one')) t(k, w)) GROUP BY c_custkey""")
+def suggest_compose_all(spark, d):
+    """The whole composed list."""
+    return customers(spark, d).select("c_custkey", F.array_join(suggest.resolve(["sequential", "suffix-words"])(F.col("handle")), ",").alias("composed"))
+
+
 @query()
 def suggest_random(spark, d):
     """Seeded."""
@@ -369,9 +386,33 @@ def risk_spoofed(spark, d):
     return rows.select("c_custkey", "identifier").join(scored, "identifier").select("c_custkey", "score", "action")
 
 
+@query(f"""SELECT c_custkey, CAST(n * 0.55::DOUBLE AS DECIMAL(9, 3))::DOUBLE AS distance, CAST(n AS INTEGER) AS cross_script_count, true AS skeleton_equal FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN length(handle) - length(replace(replace(replace(handle, 'a', ''), 'e', ''), 'o', '')) ELSE 0 END AS n FROM {C})""")
+def distance_spoofed_all(spark, d):
+    """Every customer's name, spoofed or not, against the name it imitates."""
+    rows = customers(spark, d).withColumn("d", pairs.distance(F.expr(SPOOFING), F.col("handle")))
+    return rows.select("c_custkey", "d.distance", "d.cross_script_count", "d.skeleton_equal")
+
+
+@query(f"""SELECT c_custkey, 100 AS score, 'block' AS action FROM {C}""")
+def risk_spoofed_all(spark, d):
+    """Every customer's name, spoofed or not, against its own."""
+    rows = customers(spark, d).withColumn("identifier", F.expr(SPOOFING))
+    scored = risk.check_risk(NameGuard(spark), rows, targets=rows.select(F.col("identifier").alias("normalized"), F.col("handle").alias("target")))
+    return rows.select("c_custkey", "identifier").join(scored, "identifier").select("c_custkey", "score", "action")
+
+
 # pairs
 
 
+@query(f"SELECT a.c_custkey, b.c_custkey AS other FROM {C} a JOIN {C} b ON a.handle = b.handle")
+def skeleton_join_all(spark, d):
+    """Every customer's name, spoofed or not, meets the names of its skeleton."""
+    a = customers(spark, d).select("c_custkey", F.expr(SPOOFING).alias("h"))
+    b = customers(spark, d).select(F.col("c_custkey").alias("other"), "handle")
+    return pairs.skeleton_join(a, b, "h", "handle").select("c_custkey", "other")
+
+
 @query(f"SELECT a.c_custkey, b.c_custkey AS other FROM {C} a JOIN {C} b ON a.handle = b.handle WHERE a.c_custkey % 3 = 0")
 def skeleton_join(spark, d):
     """Spoofed names meet the names they imitate."""
