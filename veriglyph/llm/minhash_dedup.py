@@ -15,10 +15,12 @@ Contract of ``near_components``: a document's set are the distinct ``shingle``-w
    on the spot, the likeliest first, until their components have met; only links leave a block. So no link between
    classes is lost with its bucket's size, and pairs inside one component, where a further link changes nothing, are never made.
 
-A pair at the threshold shares none of the 24 bands of 4 minima with a chance of 2e-8.
+A pair at the threshold shares none of the 24 bands of 4 minima with a chance of 2e-8. Sets hold 64-bit codes of shingles, made by
+mixing their words' codes, and those by mixing the words' bytes; there are no sums of powers in them that patterned words could cancel.
 
 Defined results: null text or no words give an empty set, linked with nothing; rows with null doc_id take no part;
-rows that repeat a doc_id count once, with the larger set; an empty table gives no rows; other columns are ignored.
+rows that repeat a doc_id give a row each, with their own sizes, and the
+document links where any of them does; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .durable import components, cut
 from .repeats import _whole
-from .rolling import Ranges, buffers, chunks, lean, mix, words
+from .rolling import buffers, chunks, join, lean, mix, sliding, words
 
 SHINGLE, NUM, DEN = 5, 85, 100
 MINIMA, ROWS, BITS = 96, 4, 4
@@ -42,10 +44,18 @@ SMALL, BLOCK = 64, 1024
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Of adjoining rows: their sets' hashes, each sorted, and the rows' offsets in them."""
     _, _, codes, at = words(data, offsets, lower=True)
-    ranges, n = Ranges(codes), at[1:] - at[:-1]
+    n = at[1:] - at[:-1]
     count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1], count)
-    hashes = ranges.hash(first, np.minimum(first + shingle, np.repeat(at[1:], count)))
+    whole, size = sliding(codes, shingle), np.repeat(np.minimum(n, shingle), count)
+    hashes = np.empty(len(first), np.uint64)
+    hashes[size == shingle] = whole[first[size == shingle]]
+    for k in range(1, shingle):  # shorter documents' words, all as one
+        some = np.flatnonzero(size == k)
+        x = np.full(len(some), k, np.uint64)
+        for i in range(k):
+            x = join(x, codes[first[some] + i])
+        hashes[some] = x
     out, bounds = [], np.concatenate([[0], np.cumsum(count)]).tolist()
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         x = np.sort(hashes[a:b])

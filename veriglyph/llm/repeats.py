@@ -4,17 +4,20 @@ Winnowing marks in each window the rightmost seed of the least hash, its *anchor
 equal seeds at equal places, so a repeat can only lie between windows that hang on equal anchors. The
 windows that hang on one anchor make a run; the symbols under the run are its *context*.
 
-1. ``anchors``: a row for each anchor. Within a batch of documents equal contexts are settled at once and
-   leave one row, so that no key has more rows than there are batches.
-2. ``classes``: anchors are dealt by seed. Of equal contexts all but the first are repeats as a whole. The
-   first of each goes on only where its seed has other contexts too.
-3. ``segments``: those contexts' symbols are cut out of the texts.
-4. ``refine``: dealt by seed again, the contexts are compared window by window, by the method of the caller.
-
-A seed with more than ``HOT`` contexts (the edge of a very common passage) would meet in one task; its contexts are cut
+1. ``anchors``: a row for each anchor. Within a batch of documents equal contexts, confirmed on their bytes, are settled at
+   once: all but the first are repeats as a whole. So no key has more rows than there are batches.
+2. ``classes``: anchors are dealt by seed. Those whose seed is found nowhere else leave.
+3. ``segments``: the other contexts' bytes are cut out of the texts.
+4. ``refine``: dealt by seed again, the contexts are compared by the method of the caller, on their bytes. Hashes only
+   deal rows here; what they hold is never taken as equal without a look at it.
+
+A seed with more than ``HOT`` rows (a very common passage) would meet in one task; its contexts are cut
 into single windows in step 3, which are dealt by their own hash, equal ones combined first.
 
 Every step streams or holds one hash partition; the only thing gathered by document is its own spans.
+
+A document is a doc_id and, where any doc_id has several rows, a hash of the text: rows that repeat both are one document,
+rows of one doc_id with different texts are documents each, which are never copies of each other.
 """
 
 from __future__ import annotations
@@ -26,13 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import Ranges, buffers, byte_codes, chunks, lean, mix, sliding_min, words
+from .rolling import buffers, byte_codes, chunks, doubled, join, lean, mix, same_ranges, sliding, sliding_min, words
 
-_ROW = "akey long, ctx long, doc_id long, meta long"
-_SEGMENT = "akey long, doc_id long, meta long, seg binary"
+_ROW = "akey long, doc_id long, ver long, meta long"
+_SEGMENT = "akey long, doc_id long, ver long, meta long, seg binary"
 _BITS, _ALL = 8, 255
 #: Contexts of one seed that are compared in one task.
 HOT = 2048
+#: Bytes of input for each partition at least, where the session sets fewer partitions.
+PARTITION = 64 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """As many as the session sets, more for large inputs, so that a worker can hold one."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # what Spark takes where it can't tell
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(known // PARTITION, 200_000))
 
 
 def pack(start, off, nwin, kind):
@@ -44,25 +57,57 @@ def unpack(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return meta >> (2 * _BITS + 2), meta >> (_BITS + 2) & _ALL, meta >> 2 & _ALL, meta & 3
 
 
-def coded(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, codes, offsets) for runs of rows: a 64-bit code for each symbol (a word or a byte)."""
-    for i, j in chunks(offsets):
+class Symbols:
+    """Adjoining rows' symbols (words or bytes): each one's code, first byte and end, and the rows' offsets among them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, unit: str):
+        self.data, self.unit = data, unit
         if unit == "word":
-            _, _, codes, at = words(data, offsets[i : j + 1])
-            yield i, j, codes, at
+            self.start, self.end, self.codes, self.at = words(data, offsets)
         else:
-            yield i, j, byte_codes()[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+            self.codes, self.at, self.base = byte_codes()[data[offsets[0] : offsets[-1]]], offsets - offsets[0], offsets[0]
+
+    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ``size`` symbols from a and from b are the same bytes."""
+        if self.unit == "byte":
+            first = np.concatenate([a, b]) + self.base
+            return same_ranges(self.data, first, first + np.concatenate([size, size]), np.arange(len(a)), np.arange(len(a)) + len(a))
+        heads = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(heads, size)
+        pairs, back = np.unique((inner + np.repeat(a, size)) * len(self.codes) + inner + np.repeat(b, size), return_inverse=True)
+        same = same_ranges(self.data, self.start, self.end, pairs // len(self.codes), pairs % len(self.codes))
+        return np.logical_and.reduceat(same[back], heads) if len(a) else np.zeros(0, bool)
+
+    def bytes(self, a: int, b: int) -> bytes:
+        """Symbols a to b as bytes, words parted by one space."""
+        if self.unit == "byte":
+            return self.data[self.base + a : self.base + b].tobytes()
+        return b" ".join(self.data[self.start[a] : self.end[b - 1]].tobytes().split())
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[int, int, Symbols]]:
+    for i, j in chunks(offsets):
+        yield i, j, Symbols(data, offsets[i : j + 1], unit)
+
+
+def context_codes(codes: np.ndarray, a: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    """A code for each range of ``window`` symbols or more: overlapping blocks of a power of two cover it."""
+    s = 1 << window.bit_length() - 1
+    blocks = doubled(codes, s)
+    out = mix(size.astype(np.uint64))
+    for k in range(-(-int(size.max(initial=1)) // s)):
+        out = join(out, blocks[np.minimum(a + k * s, a + size - s)])
+    return out
 
 
 def runs(codes: np.ndarray, at: np.ndarray, window: int, seed: int):
-    """Of adjoining rows' codes: each run's row, first window, number of windows, its anchor's place in it, seed hash and context hash."""
+    """Of adjoining rows' codes: each run's row, first window, number of windows, its anchor's place in it, seed code and context code."""
     n, w = len(codes), window - seed + 1
+    none = np.zeros(0, np.int64)
     if n < window:
-        none = np.zeros(0, np.int64)
         return none, none, none, none, none, none
-    ranges = Ranges(codes)
+    seeds = sliding(codes, seed)
     first = np.arange(n - seed + 1)
-    seeds = ranges.hash(first, first + seed)
     keyed = (seeds & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - first.astype(np.uint64))
     anchor = (np.uint64(0xFFFFFFFF) - (sliding_min(keyed, w) & np.uint64(0xFFFFFFFF))).astype(np.int64)
     ok = np.zeros(n + 1, np.int32)  # windows that end within their row
@@ -71,50 +116,71 @@ def runs(codes: np.ndarray, at: np.ndarray, window: int, seed: int):
     ok[at[rows + 1] - window + 1] -= 1
     valid = np.flatnonzero(np.cumsum(ok)[: n - window + 1])
     if not len(valid):
-        return runs(codes[:0], at, window, seed)
+        return none, none, none, none, none, none
     anchor = anchor[valid]
     new = np.empty(len(valid), dtype=bool)
     new[0] = True
     new[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)
-    new |= np.isin(valid, at)
+    begin = np.zeros(n, dtype=bool)
+    begin[at[:-1][at[:-1] < n]] = True
+    new |= begin[valid]
     head = np.flatnonzero(new)
     a, p = valid[head], anchor[head]
     nwin = np.diff(np.append(head, len(valid)))
-    ctx = mix(ranges.hash(a, a + nwin + (window - 1)) ^ ((p - a).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    ctx = join(context_codes(codes, a, nwin + (window - 1), window), (p - a).astype(np.uint64))
     row = np.searchsorted(at, a, side="right") - 1
-    return row, a - at[row], nwin, p - a, seeds[p].view(np.int64), ctx.view(np.int64)
+    return row, a - at[row], nwin, p - a, seeds[p].view(np.int64), ctx
+
+
+def later(group: np.ndarray, doc: np.ndarray, ver: np.ndarray, place: np.ndarray, strict: bool) -> np.ndarray:
+    """Which items are repeats: an equal one (of the same group) is in a smaller doc_id or, unless ``strict``, earlier in the same document."""
+    order = np.lexsort((place, ver, doc, group))
+    g, d, v, p = group[order], doc[order], ver[order], place[order]
+    new = np.append(True, g[1:] != g[:-1])[: len(g)]
+    hit = d != d[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(g) else np.zeros(0, bool)
+    if not strict:
+        own = new | np.append(True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]))[: len(g)]
+        hit |= p != p[np.flatnonzero(own)[np.cumsum(own) - 1]] if len(g) else hit
+    out = np.empty(len(g), dtype=bool)
+    out[order] = hit
+    return out
 
 
 def _table(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=schema)
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+_ROWS = pa.schema([("akey", pa.int64()), ("doc_id", pa.int64()), ("ver", pa.int64()), ("meta", pa.int64())])
+_SEGS = pa.schema([("akey", pa.int64()), ("doc_id", pa.int64()), ("ver", pa.int64()), ("meta", pa.int64()), ("seg", pa.binary())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("ver", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
-_ROWS = pa.schema([("akey", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64())])
-_SEGS = pa.schema([("akey", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64()), ("seg", pa.binary())])
-_SPANS = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+def dealt_by_document(doc: np.ndarray) -> np.ndarray:
+    """Settled rows only pass through: any even dealing will do."""
+    return mix(doc.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
 def anchors(unit: str, window: int, seed: int, strict: bool) -> Callable:
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, vers = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "ver"))
             data, offsets = buffers(batch.column("text"))
-            parts = []
-            for i, j, codes, at in coded(data, offsets, unit):
-                row, start, nwin, off, akey, ctx = runs(codes, at, window, seed)
-                parts.append((ids[i:j][row], akey, ctx, pack(start, off, nwin, 0)))
-            if not parts:
-                continue
-            doc, akey, ctx, meta = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((meta, doc)) if len(ids) > 1 and (np.diff(ids) <= 0).any() else np.arange(len(doc))
-            doc, akey, ctx, meta = doc[order], akey[order], ctx[order], meta[order]
-            _, first, back = np.unique(ctx, return_index=True, return_inverse=True)
-            lead = first[back]
-            again = doc != doc[lead] if strict else (doc != doc[lead]) | (meta != meta[lead])
-            keep = again | (lead == np.arange(len(doc))) | (strict & ~again)
-            meta = meta | again
-            akey = np.where(again, mix(doc.view(np.uint64)).view(np.int64), akey)  # settled: dealt by document
-            yield _table(_ROWS, akey[keep], ctx[keep], doc[keep], meta[keep])
+            for i, j, sym in symbols(data, offsets, unit):
+                row, start, nwin, off, akey, ctx = runs(sym.codes, sym.at, window, seed)
+                if not len(row):
+                    continue
+                doc, ver, meta = ids[i:j][row], vers[i:j][row], pack(start, off, nwin, 0)
+                _, number = np.unique(join(akey.view(np.uint64), ctx), return_inverse=True)
+                again = later(number, doc, ver, meta, strict)
+                if again.any():  # confirmed against one of their group that isn't a repeat itself
+                    some = np.flatnonzero(again)
+                    order = np.lexsort((meta, ver, doc, number))
+                    lead = order[np.searchsorted(number[order], number[some])]
+                    a, b, size = (start + sym.at[row])[some], (start + sym.at[row])[lead], nwin[some] + (window - 1)
+                    good = (nwin[lead] == nwin[some]) & (off[lead] == off[some])
+                    good[good] = sym.equal(a[good], b[good], size[good])
+                    again[some[~good]] = False
+                yield _table(_ROWS, np.where(again, dealt_by_document(doc), akey), doc, ver, meta | again)
 
     return run
 
@@ -127,32 +193,23 @@ def _whole(batches, names: list[str]) -> list[np.ndarray]:
 
 def classes(strict: bool, hot: int) -> Callable:
     def run(batches):
-        akey, ctx, doc, meta = _whole(batches, ["akey", "ctx", "doc_id", "meta"])
+        akey, doc, ver, meta = _whole(batches, ["akey", "doc_id", "ver", "meta"])
         if not len(akey):
             return
         done = (meta & 1).astype(bool)
-        yield from _sliced(_ROWS, akey[done], ctx[done], doc[done], meta[done])
-        akey, ctx, doc, meta = (x[~done] for x in (akey, ctx, doc, meta))
+        yield from _sliced(_ROWS, akey[done], doc[done], ver[done], meta[done])
+        akey, doc, ver, meta = (x[~done] for x in (akey, doc, ver, meta))
         if not len(akey):
             return
-        order = np.lexsort((meta, doc, ctx, akey))
-        akey, ctx, doc, meta = (x[order] for x in (akey, ctx, doc, meta))
-        new = np.ones(len(akey), dtype=bool)
-        seed_new = new.copy()
-        seed_new[1:] = akey[1:] != akey[:-1]
-        new[1:] = seed_new[1:] | (ctx[1:] != ctx[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = doc != doc[lead] if strict else (doc != doc[lead]) | (meta != meta[lead])
-        seed_no = np.cumsum(seed_new) - 1
-        contexts = np.bincount(seed_no, weights=new)[seed_no]
-        many = contexts > 1
-        if strict:  # nothing to compare within one document
-            heads = np.flatnonzero(seed_new)
-            low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-            many &= (low < high)[seed_no]
-        keep = again | many
-        kind = np.where(again, 1, np.where(contexts > hot, 2, 0))
-        yield from _sliced(_ROWS, akey[keep], ctx[keep], doc[keep], (meta | kind)[keep])
+        order = np.argsort(akey, kind="stable")
+        akey, doc, ver, meta = (x[order] for x in (akey, doc, ver, meta))
+        heads = np.flatnonzero(np.append(True, akey[1:] != akey[:-1]))
+        count = np.diff(np.append(heads, len(akey)))
+        many = count > 1
+        if strict:  # nothing to compare within one doc_id
+            many &= np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+        keep, kind = np.repeat(many, count), np.repeat(np.where(count > hot, 2, 0), count)
+        yield from _sliced(_ROWS, akey[keep], doc[keep], ver[keep], (meta | kind)[keep])
 
     return run
 
@@ -174,52 +231,48 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[head], top[np.append(head[1:], len(lo)) - 1]
 
 
-def _windows(source: np.ndarray, size: int, window: int, docs: list, starts: list, firsts: list, strict: bool):
-    """Rows for single windows (of documents, at starts; ``firsts`` in ``source``), those settled within the batch among them."""
-    doc, start, first = (np.concatenate(x) for x in (docs, starts, firsts))
-    whole = source[(first * size)[:, None] + np.arange(window * size)]
-    codes = whole.view(np.uint64) if size == 8 else byte_codes()[whole]
-    key = Ranges(codes.ravel()).hash(np.arange(len(doc)) * window, np.arange(1, len(doc) + 1) * window).view(np.int64)
-    order = np.lexsort((start, doc, key))
-    key, doc, start, whole = key[order], doc[order], start[order], whole[order]
-    new = np.append(True, key[1:] != key[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = doc != doc[lead] if strict else ~new & ((doc != doc[lead]) | (start != start[lead]))
-    for k, d, s, w, a in zip(key.tolist(), doc.tolist(), start.tolist(), whole, again.tolist(), strict=True):
-        yield (int(mix(np.array([d]).view(np.uint64)).view(np.int64)[0]), d, s << 2 | 1, (s + window).to_bytes(8, "little")) if a else (k, d, int(pack(s, 0, 1, 0)), w.tobytes())
+def _windows(sym: Symbols, window: int, doc: np.ndarray, ver: np.ndarray, start: np.ndarray, first: np.ndarray, strict: bool):
+    """Rows for single windows (of documents, at starts; ``first`` among the symbols), those settled within the batch among them."""
+    text = [sym.bytes(a, a + window) for a in first.tolist()]
+    seen: dict[bytes, int] = {}
+    number = np.array([seen.setdefault(t, len(seen)) for t in text])
+    again = later(number, doc, ver, start, strict)
+    key = context_codes(sym.codes, first, np.full(len(first), window), window).view(np.int64)
+    place = np.where(again, start << 2 | 1, pack(start, 0, 1, 0))
+    key = np.where(again, dealt_by_document(doc), key)
+    for k, d, v, p, s, t, a in zip(key.tolist(), doc.tolist(), ver.tolist(), place.tolist(), start.tolist(), text, again.tolist(), strict=True):
+        yield k, d, v, p, (s + window).to_bytes(8, "little") if a else t
 
 
 def segments(unit: str, window: int, strict: bool) -> Callable:
+    """Settled spans are rows too: their kind is 1, their place the first symbol, their bytes the end."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, vers = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "ver"))
             data, offsets = buffers(batch.column("text"))
             listed, at = _lists(batch.column("items"))
             akey, meta = (listed.field(k).to_numpy(zero_copy_only=False) for k in ("akey", "meta"))
-            for i, j, codes, row_at in coded(data, offsets, unit):
-                source = codes.view(np.uint8) if unit == "word" else data[offsets[i] : offsets[j]]
-                size = 8 if unit == "word" else 1
-                outs, hot = [], ([], [], [])
+            for i, j, sym in symbols(data, offsets, unit):
+                outs, hot = [], []
                 for r in range(i, j):
                     k, m = akey[at[r] : at[r + 1]], meta[at[r] : at[r + 1]]
                     start, _, nwin, kind = unpack(m)
-                    settled = kind == 1
+                    settled, base, d, v = kind == 1, sym.at[r - i], int(ids[r]), int(vers[r])
                     lo, hi = merged(start[settled], (start + nwin + window - 1)[settled])
-                    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-                        outs.append((int(mix(np.array([ids[r]]).view(np.uint64)).view(np.int64)[0]), int(ids[r]), a << 2 | 1, b.to_bytes(8, "little")))
-                    base = row_at[r - i]
-                    todo, common = kind == 0, kind == 2
-                    for x, y, s, c in zip(k[todo].tolist(), m[todo].tolist(), (start + base)[todo].tolist(), (nwin + window - 1)[todo].tolist(), strict=True):
-                        outs.append((x, int(ids[r]), y, source[s * size : (s + c) * size].tobytes()))
-                    if common.any():
-                        n = nwin[common]
-                        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[common], n)
-                        for x, y in zip(hot, (np.full(len(each), ids[r]), each, each + base), strict=True):
-                            x.append(y)
-                if hot[0]:
-                    outs += _windows(source, size, window, *hot, strict)
+                    x = int(dealt_by_document(ids[r : r + 1])[0])
+                    outs += [(x, d, v, a << 2 | 1, b.to_bytes(8, "little")) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    todo = kind == 0
+                    for x, y, a, size in zip(k[todo].tolist(), m[todo].tolist(), (start + base)[todo].tolist(), (nwin + window - 1)[todo].tolist(), strict=True):
+                        outs.append((x, d, v, y, sym.bytes(a, a + size)))
+                    n, first = nwin[kind == 2], start[kind == 2]
+                    each = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n))
+                    if len(each):
+                        hot.append((np.full(len(each), d), np.full(len(each), v), each, each + base))
+                if hot:
+                    outs += _windows(sym, window, *(np.concatenate(x) for x in zip(*hot, strict=True)), strict)
                 if outs:
-                    yield _table(_SEGS, *(pa.array(x, t.type) for x, t in zip(zip(*outs, strict=True), _SEGS, strict=True)))
+                    yield _table(_SEGS, *zip(*outs, strict=True))
 
     return run
 
@@ -232,65 +285,78 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(n)])
 
 
-def refine(window: int, method: Callable, unit: str, strict: bool, block: int = 1 << 18) -> Callable:
-    """method(akey, doc, start, off, nwin, symbols, offsets) tells for each segment's each window whether it is a repeat."""
+class Block:
+    """Whole classes of contexts: their keys, documents, first windows, anchors' places and windows, and their bytes."""
+
+    def __init__(self, akey, doc, ver, meta, data, at):
+        self.akey, self.doc, self.ver = akey, doc, ver
+        self.first, self.off, self.nwin, _ = unpack(meta)
+        self.data, self.at = data, at
+        self.owner = np.repeat(np.arange(len(akey)), self.nwin)
+        self.base = np.cumsum(self.nwin) - self.nwin
+        self.inner = np.arange(len(self.owner)) - self.base[self.owner]
+
+    def spans(self, hit: np.ndarray, window: int):
+        """The spans under adjoining windows that are hit."""
+        same = np.append(False, self.owner[1:] == self.owner[:-1])[: len(hit)]
+        up = np.flatnonzero(hit & ~(same & np.append(False, hit[:-1])[: len(hit)]))
+        down = np.flatnonzero(hit & ~np.append(same[1:] & hit[1:], False)[: len(hit)])
+        o = self.owner[up]
+        return self.doc[o], self.ver[o], self.first[o] + self.inner[up], self.first[o] + self.inner[down] + window
+
+
+def refine(window: int, method: Callable, block: int = 1 << 18) -> Callable:
+    """method(block) tells for each context's each window whether it is a repeat."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        akey, doc, meta = (table.column(n).to_numpy() for n in ("akey", "doc_id", "meta"))
+        akey, doc, ver, meta = (table.column(n).to_numpy() for n in ("akey", "doc_id", "ver", "meta"))
         data, at = buffers(table.column("seg"))
         settled = np.flatnonzero(meta & 3 == 1)
         ends = data[(at[settled][:, None] + np.arange(8)).ravel()].reshape(-1, 8).copy().view(np.int64).ravel()
-        yield from _sliced(_SPANS, doc[settled], meta[settled] >> 2, ends)
+        yield from _sliced(_SPANS, doc[settled], ver[settled], meta[settled] >> 2, ends)
         todo = np.flatnonzero(meta & 3 != 1)
-        todo = todo[np.lexsort((meta[todo], doc[todo], akey[todo]))]
-        if len(todo):  # a row of documents that comes twice brings the same contexts
-            a, d, m = akey[todo], doc[todo], meta[todo]
-            todo = todo[np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (m[1:] != m[:-1]))]
-        size = 8 if unit == "word" else 1
+        todo = todo[np.argsort(akey[todo], kind="stable")]
         length = (at[1:] - at[:-1])[todo]
         heads = np.flatnonzero(np.append(True, akey[todo][1:] != akey[todo][:-1])) if len(todo) else np.zeros(0, np.int64)
         cuts, filled = [0], 0
-        sums = np.add.reduceat(length, heads) if len(todo) else []
-        for h, x in zip(heads, sums, strict=True):  # whole classes, about ``block`` bytes together
+        for h, x in zip(heads.tolist(), (np.add.reduceat(length, heads) if len(todo) else np.zeros(0)).tolist(), strict=True):  # about ``block`` bytes together
             if filled and filled + x > block:
-                cuts.append(int(h))
+                cuts.append(h)
                 filled = 0
             filled += x
         for lo, hi in zip(cuts, [*cuts[1:], len(todo)], strict=True):
-            rows = todo[lo:hi]
-            if not len(rows):
-                continue
-            n = length[lo:hi]
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n) + np.repeat(at[rows], n)
-            symbols, offsets = data[index], offsets // size
-            symbols = symbols.view(np.uint64) if unit == "word" else symbols
-            first, off, nwin, _ = unpack(meta[rows])
-            owner = np.repeat(np.arange(len(rows)), nwin)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(nwin) - nwin, nwin)
-            hit = method(akey[rows], doc[rows], first, off, nwin, symbols, offsets, owner, inner)
-            hit &= True
-            edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-            at_row = np.append(True, owner[1:] != owner[:-1])
-            up = np.flatnonzero(hit & (at_row | (edge[:-1] == 1)))
-            down = np.flatnonzero(hit & np.append(at_row[1:] | (edge[1:-1] == -1), True))
-            yield from _sliced(_SPANS, doc[rows][owner[up]], first[owner[up]] + inner[up], first[owner[down]] + inner[down] + window)
+            rows, n = todo[lo:hi], length[lo:hi]
+            if len(rows):
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n) + np.repeat(at[rows], n)
+                part = Block(akey[rows], doc[rows], ver[rows], meta[rows], data[index], offsets)
+                yield from _sliced(_SPANS, *part.spans(method(part), window))
 
     return run
 
 
-def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, method: Callable, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(documents dealt by doc_id, (doc_id, spans)): the spans that repeated windows cover, unsorted and overlapping."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def versioned(docs: DataFrame) -> DataFrame:
+    """(doc_id, ver, text): ``ver`` is 0 unless some doc_id has several rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return docs.select("doc_id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("ver"), "text")
+
+
+def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, method: Callable, hot: int = HOT) -> DataFrame:
+    """(doc_id, ver, text, spans) for each row: the spans that repeated windows cover, unsorted and overlapping."""
+    if not 0 < seed <= window or window - seed >= _ALL:
+        raise ValueError(f"seeds must be shorter than windows, by less than {_ALL}")
+    docs = versioned(docs)
+    n = partitions(docs)
+    key = ["doc_id", "ver"]
     found = docs.mapInArrow(lean(anchors(unit, window, seed, strict)), _ROW).repartition(n, "akey").mapInArrow(lean(classes(strict, hot)), _ROW)
-    dealt = docs.repartition(n, "doc_id")
-    items = found.groupBy("doc_id").agg(F.collect_list(F.struct("akey", "meta")).alias("items"))
-    cut = dealt.join(items.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items").mapInArrow(lean(segments(unit, window, strict)), _SEGMENT)
-    spans = cut.repartition(n, "akey").mapInArrow(lean(refine(window, method, unit, strict)), "doc_id long, lo long, hi long")
-    return dealt, spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    dealt = docs.repartition(n, *key)
+    items = found.groupBy(*key).agg(F.collect_list(F.struct("akey", "meta")).alias("items"))
+    cut = dealt.join(items.hint("shuffle_hash"), key).select(*key, "text", "items").mapInArrow(lean(segments(unit, window, strict)), _SEGMENT)
+    spans = cut.repartition(n, "akey").mapInArrow(lean(refine(window, method)), "doc_id long, ver long, lo long, hi long")
+    spans = spans.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return dealt.join(spans.hint("shuffle_hash"), key, "left").select(*key, "text", "spans")

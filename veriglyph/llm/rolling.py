@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,8 +17,6 @@ import pyarrow as pa
 
 #: Bytes of text hashed at a time; one longer document makes a chunk of its own.
 CHUNK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,38 +30,99 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def byte_codes(lower: bool = False) -> np.ndarray:
-    """A pseudo-random code for each byte; with ``lower``, A-Z share those of a-z."""
-    ids = np.arange(1, 257, dtype=np.uint64)
-    if lower:
-        ids[65:91] = ids[97:123]
-    return mix(ids * np.uint64(0xD1342543DE82EF95))
+def byte_codes() -> np.ndarray:
+    """A pseudo-random code for each byte."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's and its inverse's powers 0 to n-1, modulo 2**64."""
-    if len(_tables.get("up", ())) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _tables[name] = np.multiply.accumulate(x)
-    return _tables["up"][:n], _tables["down"][:n]
-
-
-class Ranges:
-    """Hashes of any ranges of a sequence of 64-bit codes."""
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One code for two in this order. Shifts between the products keep patterned inputs from cancelling, as they can in sums of powers."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    x += b
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
 
-    def __init__(self, codes: np.ndarray):
-        up, self.down = powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(codes * up[:-1], out=self.sums[1:])
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def doubled(codes: np.ndarray, size: int) -> np.ndarray:
+    """A code for each ``size`` adjoining codes, ``size`` a power of two."""
+    s = 1
+    while s < size:
+        codes = join(codes[:-s], codes[s:]) if len(codes) > s else codes[:0]
+        s *= 2
+    return codes
+
+
+def sliding(codes: np.ndarray, size: int) -> np.ndarray:
+    """A code for each ``size`` adjoining codes."""
+    s = 1 << size.bit_length() - 1
+    half = doubled(codes, s)
+    n = len(codes) - size + 1
+    if n <= 0:
+        return half[:0]
+    return join(half[:n], half[size - s : size - s + n]) if size > s else half
+
+
+#: Ranges of more bytes are hashed one by one.
+LANES = 256
+
+
+def range_codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A code for each range of bytes: eight at a time, those still going on; very long ones by BLAKE2."""
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    at, left, live = start, size, None
+    if len(size) and size.max() > LANES:
+        long = size > LANES
+        for k in np.flatnonzero(long).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        live = np.flatnonzero(~long)
+        at, left = start[live], size[live]
+    while True:
+        lane = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+        lane = np.where(left > 0, lane, np.uint64(0))
+        if live is None:
+            out = join(out, lane)
+            live = np.flatnonzero(left > 8)
+        else:
+            out[live] = join(out[live], lane)
+            live = live[left > 8]
+        if not len(live):
+            return out
+        at, left = at[left > 8] + 8, left[left > 8] - 8
+
+
+def exact_numbers(buf: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 that are equal where the ranges' bytes are, and one range of each: equal codes are confirmed on the bytes."""
+    _, first, number = np.unique(codes, return_index=True, return_inverse=True)
+    odd = ~same_ranges(buf, start, end, np.arange(len(codes)), first[number])
+    if odd.any():
+        seen: dict[bytes, int] = {}
+        for k in np.flatnonzero(np.isin(number, number[odd])).tolist():
+            number[k] = seen.setdefault(buf[start[k] : end[k]].tobytes(), len(first) + len(seen))
+        _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    return number, first
+
+
+def same_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether ranges a[k] and b[k] hold the same bytes."""
+    size = end[a] - start[a]
+    out = size == end[b] - start[b]
+    todo = np.flatnonzero(out & (a != b) & (size > 0))
+    sums = np.cumsum(size[todo])
+    at = 0
+    while at < len(todo):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, side="right")))
+        rows = todo[at:to]
+        n = size[rows]
+        heads = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(heads, n)
+        out[rows] = np.logical_and.reduceat(buf[inner + np.repeat(start[a[rows]], n)] == buf[inner + np.repeat(start[b[rows]], n)], heads)
+        at = to
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +146,14 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+@cache
+def lowered() -> np.ndarray:
+    """Each byte, A-Z as a-z."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    return out
+
+
 @cache
 def separators(kind: str) -> np.ndarray:
     """Which bytes end a word: ``space`` (the six of ASCII) or ``alnum`` (all of ASCII but letters and digits)."""
@@ -115,7 +183,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: boo
     after[:-1], after[-1] = inside[1:], False
     after[edges[1:] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    return start + base, end + base, Ranges(byte_codes(lower)[buf]).hash(start, end), np.searchsorted(start, offsets).astype(np.int64)
+    return start + base, end + base, range_codes(lowered()[buf] if lower else buf, start, end), np.searchsorted(start, offsets).astype(np.int64)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

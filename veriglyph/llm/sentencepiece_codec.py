@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rolling import Ranges, buffers, byte_codes, chunks, trim
+from .rolling import buffers, chunks, exact_numbers, range_codes, trim
 
 #: Bytes of distinct parts indexed at a time, parts relaxed one by one beyond so many bytes, and cached borders.
 INDEX, LONG, CACHE = 1 << 18, 96, 1 << 20
@@ -286,7 +286,7 @@ def _spelled(voc: Vocabulary, tokens: np.ndarray, text: bytes, spaces: int) -> l
 
 
 def split(data: np.ndarray, offsets: np.ndarray):
-    """Of rows that adjoin in ``data``: their bytes with a space before each, each part's start, end and hash, the rows that aren't
+    """Of rows that adjoin in ``data``: their bytes with a space before each, each part's start and end, the rows that aren't
     empty, and the first part of each; none if all are empty."""
     rows = np.diff(offsets)
     some = np.flatnonzero(rows)
@@ -307,39 +307,38 @@ def split(data: np.ndarray, offsets: np.ndarray):
     start[head] = True
     start = np.flatnonzero(start)
     end = np.append(start[1:], len(buf))
-    hashes = Ranges(byte_codes()[buf]).hash(start, end)
-    return buf, start, end, hashes, some, np.searchsorted(start, head)
+    return buf, start, end, some, np.searchsorted(start, head)
 
 
 class Encoded:
     """A batch's rows, each distinct part matched once; ids are put together for as many rows as are asked for."""
 
     def __init__(self, voc: Vocabulary, data: np.ndarray, offsets: np.ndarray):
-        hashes, firsts, lengths, texts, rows = [], [], [], [], np.zeros(len(offsets) - 1, np.int64)
+        numbers, lengths, texts, rows = [], [], [], np.zeros(len(offsets) - 1, np.int64)
+        known = 0
         for i, j in chunks(offsets):
             got = split(data, offsets[i : j + 1])
             if got is None:
                 continue
-            buf, start, end, h, some, first = got
+            buf, start, end, some, first = got
             rows[i + some] = np.diff(np.append(first, len(start)))
-            _, one = np.unique(h, return_index=True)
+            number, one = exact_numbers(buf, start, end, range_codes(buf, start, end))
+            numbers.append((number + known).astype(np.int32))
+            known += len(one)
             length = (end - start)[one]
             index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[one], length)
-            hashes.append(h)
-            firsts.append(h[one])
             lengths.append(length)
             texts.append(buf[index])
         self.words = np.concatenate([[0], np.cumsum(rows)])
         self.ids, self.at, self.part = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
-        if hashes:
-            length = np.concatenate(lengths)
-            where = np.cumsum(length) - length
-            distinct, one = np.unique(np.concatenate(firsts), return_index=True)
-            length, where = length[one], where[one]
+        if numbers:
+            length, text = np.concatenate(lengths), np.concatenate(texts)
+            end = np.cumsum(length)
+            number, one = exact_numbers(text, end - length, end, range_codes(text, end - length, end))
+            length, where = length[one], (end - length)[one]
             index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(where, length)
-            text = np.concatenate(texts)[index]
-            self.ids, self.at = encode_parts(voc, text, np.concatenate([[0], np.cumsum(length)]))
-            self.part = np.concatenate([np.searchsorted(distinct, h).astype(np.int32) for h in hashes])
+            self.ids, self.at = encode_parts(voc, text[index], np.concatenate([[0], np.cumsum(length)]))
+            self.part = number.astype(np.int32)[np.concatenate(numbers)]
 
     def rows(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows i to j, and the rows' offsets in them."""

@@ -1,11 +1,15 @@
 """Operator 1, substring dedup: seed and extend over winnowed anchors.
 
+Winnowed seeds join the documents (``repeats``). ``extend`` then grows all occurrences of a seed together, a word at
+a time and both ways, each step parting those whose next words differ; words are equal if their bytes are. Windows of
+``window`` words that stay together to their ends are repeats, and what adjoining ones cover are the maximal ones.
+
 Contract of ``removed_words``: words are ``[^\\x20\\x09-\\x0D]+``. A word goes when a window of ``window``
 words covers it whose words also start in a document of smaller doc_id, judged on the input.
 
-Defined results: null text has no words; rows with null doc_id take no part; a doc_id that comes twice is one
-document whose rows never count as copies of each other; equal texts leave the smallest doc_id whole; documents
-shorter than a window stay whole; an empty table gives no rows; other columns are ignored.
+Defined results: null text has no words; rows with null doc_id take no part; a doc_id that comes twice, with one text or
+several, gives a row for each, and its rows never count as copies of each other; equal texts leave the smallest doc_id
+whole; documents shorter than a window stay whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,39 +20,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import HOT, _lists, merged, mix, repeats
-from .rolling import lean
+from .repeats import HOT, Block, _lists, later, merged, repeats
+from .rolling import exact_numbers, lean, words
 
 WINDOW, SEED = 13, 5
 
 
+def parted(was: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where both are."""
+    return np.unique(was * (int(by.max(initial=0)) + 2) + by + 1, return_inverse=True)[1]
+
+
 def extend(window: int, seed: int):
-    """Grow all anchors of a class at once, word by word both ways; windows that stay equal to their ends are repeats."""
-
-    def method(akey, doc, first, off, nwin, symbols, offsets, owner, inner):
-        reach, n = window - seed, len(doc)
-        anchor, end = offsets[:-1] + off, offsets[1:]
-        step = np.uint64(0x9E3779B97F4A7C15)
-        last = len(symbols) - 1
-        right, left = [akey.view(np.uint64)], [np.zeros(n, np.uint64)]
+    """Grow all anchors of a class at once, word by word both ways; windows that stay together to their ends are repeats."""
+
+    def method(block: Block) -> np.ndarray:
+        start, end, codes, at = words(block.data, block.at)
+        symbols, _ = exact_numbers(block.data, start, end, codes)
+        anchor, last, rows = at[:-1] + block.off, at[1:], np.arange(len(block.akey))
+        right = [np.unique(block.akey, return_inverse=True)[1]]
         for k in range(window):  # the anchor's own words, then those after it
-            at = np.minimum(anchor + k, last)
-            nxt = mix(right[-1] * step + symbols[at])
-            right.append(np.where(anchor + k < end, nxt, right[-1]))
-        for k in range(1, reach + 1):
-            at = np.maximum(anchor - k, 0)
-            left.append(mix(left[-1] * step + symbols[at]))
-        base = np.cumsum(nwin) - nwin
-        hit = np.zeros(len(owner), dtype=bool)
-        for k in range(reach + 1):  # windows that begin k words before the anchor
-            rows = np.flatnonzero((off >= k) & (off - k < nwin))
-            if not len(rows):
-                continue
-            grown = mix(left[k][rows] * step + right[window - k][rows])
-            _, lead, back = np.unique(grown, return_index=True, return_inverse=True)
-            smallest = np.full(len(lead), np.iinfo(np.int64).max)
-            np.minimum.at(smallest, back, doc[rows])
-            hit[base[rows] + off[rows] - k] = doc[rows] > smallest[back]
+            place = anchor + k
+            right.append(parted(right[-1], np.where(place < last, symbols[np.minimum(place, len(symbols) - 1)], -1)))
+        left = np.zeros(len(rows), np.int64)
+        hit = np.zeros(len(block.owner), dtype=bool)
+        for k in range(window - seed + 1):  # windows that begin k words before the anchor
+            if k:
+                left[rows] = parted(left[rows], symbols[(anchor - k)[rows]])
+            rows = rows[block.off[rows] >= k]
+            some = rows[block.off[rows] - k < block.nwin[rows]]
+            place = block.off[some] - k
+            hit[block.base[some] + place] = later(parted(left[some], right[window - k][some]), block.doc[some], block.ver[some], block.first[some] + place, True)
+            rows = rows[block.off[rows] > k]
         return hit
 
     return method
@@ -83,10 +86,9 @@ def _kept(texts: bool):
 
 def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document; with ``texts`` also the kept text and the removed word spans."""
-    dealt, spans = repeats(docs, "word", window, seed, True, extend(window, seed), hot)
-    joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+    found = repeats(docs, "word", window, seed, True, extend(window, seed), hot)
     more = ", kept string, spans array<array<long>>" if texts else ""
-    return joined.mapInArrow(lean(_kept(texts)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + more)
+    return found.mapInArrow(lean(_kept(texts)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + more)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Operator 3, suffix-array dedup: column-wise construction over many strings.
 
-The collection is the contexts that ``repeats.classes`` could not settle as whole copies, cut to blocks of
-``GRAM`` bytes at every phase. One block of each string goes in per round, from the right. A round finds where
-the new suffixes belong from where their tails stand, and merges them, their symbols and their common prefixes
-into the ordered sequences in one pass. A context's windows are suffixes; runs with common prefixes of a window
-or more hold equal windows. Classes of a seed are independent collections, so a task takes about 256 KiB of
-them at a time: the sequences that the published method keeps in external files are then small enough for memory.
+The collection's strings are the pieces of documents that winnowed seeds mark as possible repeats (``repeats``; a
+window whose seed is found nowhere else can't repeat). Classes of a seed are independent collections, and a task takes
+about 256 KiB of strings at a time, equal ones once. Every round inserts one byte of each string, from the right: the byte takes
+the place of its string's end mark in the Burrows-Wheeler transform, ranks among equal bytes tell where the longer suffixes belong,
+and one pass merges them into the transform and into the common prefixes. Runs of common prefixes of a window or
+more hold equal windows, told by the bytes and not by hashes.
+
+The published method keeps both sequences in external files, since it holds one collection of everything. Here collections are
+bounded, so both are arrays, read and written in order as the files would be; what goes to disk goes through shuffles.
 
 Contract of ``removed_bytes``: a byte goes when a string of ``window`` bytes covers it that also starts earlier:
 in a document of smaller doc_id, or earlier in the same one.
 
-Defined results: null text is empty; rows with null doc_id take no part; rows that repeat a doc_id and text
-are one document, not copies; equal texts leave the smallest doc_id whole; an empty table gives no rows;
-other columns are ignored. Cutting may split a character, so ``texts`` gives the kept bytes and, beside them, a text
-in which removed runs are shrunk to whole characters.
+Defined results: null text is empty; rows with null doc_id take no part; rows that repeat a doc_id and text are one document,
+not copies, and give a row each; rows of one doc_id with different texts are documents each, which are not copies of each other;
+equal texts leave the smallest doc_id whole; an empty table gives no rows; other columns are ignored. Cutting may split a
+character, so ``texts`` gives the kept bytes and, beside them, a text in which removed runs are shrunk to whole characters.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import HOT, _lists, merged, repeats
-from .rolling import Ranges, byte_codes, lean
+from .repeats import HOT, Block, _lists, later, merged, repeats
+from .rolling import exact_numbers, lean, range_codes
 
-WINDOW, SEED, GRAM = 100, 32, 10
+#: Windows and seeds in bytes, and the bytes that make a symbol.
+WINDOW, SEED, GRAM = 100, 32, 1
 
 
 def _range_min(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -42,71 +46,85 @@ def _range_min(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.n
 
 
 def collection(symbols: np.ndarray, last: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of many strings in order, and each one's prefix in common with the one before it, in symbols.
+    """Suffixes of many strings in order, and each one's prefix in common with the one before it, in symbols (255 at most).
 
     String z has ``count[z]`` symbols, at ``last[z]``, ``last[z] - step`` and so on to its first.
     Returns (place of each suffix's first symbol, common prefixes). Symbols are positive.
     """
-    z = len(last)
-    where = np.zeros(0, np.int64)  # of suffixes of one symbol or more, in order: their places,
-    key = np.zeros(0, np.int64)  # first symbol and the rank of the rest,
-    lcp = np.zeros(0, np.uint8)  # and prefix in common with the one before
-    tail = np.arange(z)  # rank of each string's last suffix; the first z ranks are empty ones
-    live = np.arange(z)
-    width = np.int64(1) << np.int64(32)
+    z, top = len(last), int(symbols.max(initial=0))
+    kind = np.uint8 if top < 256 else np.uint16 if top < 1 << 16 else np.int32
+    symbols = symbols.astype(kind)
+    # the transform (0 marks a string's end) and the common prefixes of all suffixes; the first z are empty ones
+    bwt, lcp = np.zeros(z, kind), np.zeros(z, np.uint8)
+    place = np.arange(z)  # of each string's longest suffix so far
     for k in range(int(count.max(initial=0))):
-        live = live[count[live] > k]
-        place = last[live] - k * step
-        fresh = symbols[place].astype(np.int64) * width + tail[live]
-        order = np.argsort(fresh)
-        live, place, fresh = live[order], place[order], fresh[order]
-        total = len(key) + len(fresh)
-        at = np.searchsorted(key, fresh) + np.arange(len(fresh))
+        live = np.flatnonzero(count > k)
+        bwt[place[live]] = symbols[last[live] - k * step]
+        order = _followed(bwt)
+        rank = np.empty(len(bwt), np.int64)
+        rank[order] = np.arange(z, z + len(order))  # where the suffix longer by that symbol belongs
+        place[live] = rank[place[live]]
+        total = z + len(order)
         old = np.ones(total, dtype=bool)
-        old[at] = False
-        stands = np.flatnonzero(old)
-
-        def woven(was, new, at=at, stands=stands, total=total):
-            out = np.empty(total, was.dtype)
-            out[stands], out[at] = was, new
-            return out
-
-        full = np.concatenate([np.zeros(z, np.uint8), lcp])
-        levels = [full]
-        while 2 << (len(levels) - 1) <= len(full):
+        old[place[live]] = False
+        if len(live) < z:  # whole strings move with what is merged before them
+            done = np.flatnonzero(count <= k)
+            place[done] = np.flatnonzero(old)[place[done]]
+        levels = [lcp]
+        while 2 << (len(levels) - 1) <= len(lcp):
             x, half = levels[-1], 1 << (len(levels) - 1)
             levels.append(np.minimum(x[:-half], x[half:]))
-        merged_key = woven(key, fresh)
-        merged_lcp = woven(lcp, np.uint8(0))
-        ask = np.unique(np.concatenate([at, at[at + 1 < total] + 1]))
-        ask = ask[ask > 0]
-        ask = ask[merged_key[ask] >> 32 == merged_key[ask - 1] >> 32]
-        low = np.uint64(0xFFFFFFFF).astype(np.int64)
-        merged_lcp[ask] = 1 + np.minimum(_range_min(levels, (merged_key[ask - 1] & low) + 1, (merged_key[ask] & low) + 1), 254) if len(ask) else 0
-        rank = np.concatenate([np.arange(z), stands + z])  # where each former rank stands now
-        where, lcp = woven(where, place), merged_lcp
-        key = (merged_key & ~low) | rank[merged_key & low]
-        tail[live] = at + z
-    return where, lcp
+        merged_bwt, merged_lcp = np.zeros(total, kind), np.zeros(total, np.uint8)
+        merged_bwt[old], merged_lcp[old] = bwt, lcp
+        fresh = ~old[z:]
+        fresh[1:] |= ~old[z:-1]  # a new suffix and the one behind it
+        ask = np.flatnonzero(fresh[1:]) + 1
+        same = ask[bwt[order[ask - 1]] == bwt[order[ask]]]
+        merged_lcp[z + ask] = 0
+        merged_lcp[z] = 0
+        if len(same):
+            merged_lcp[z + same] = 1 + np.minimum(_range_min(levels, order[same - 1] + 1, order[same] + 1), 254)
+        bwt, lcp = merged_bwt, merged_lcp
+    order, where = _followed(bwt), np.zeros(len(bwt) - z, np.int64)
+    live, first = np.flatnonzero(count > 0), last - (count - 1) * step
+    at = place[live]
+    for k in range(int(count.max(initial=0))):
+        where[at - z] = first[live] + k * step
+        go = count[live] > k + 1
+        live, at = live[go], order[at[go] - z]
+    return where, lcp[z:]
+
+
+def _followed(bwt: np.ndarray) -> np.ndarray:
+    """The places of symbols in the transform in the order of the suffixes they begin."""
+    order = np.argsort(bwt, kind="stable")
+    return order[len(bwt) - np.count_nonzero(bwt) :]
 
 
 def by_collection(window: int, gram: int):
-    def method(akey, doc, first, off, nwin, symbols, offsets, owner, inner):
-        n = len(symbols)
-        spot = np.arange(max(0, n - gram + 1))
-        _, names = np.unique(Ranges(byte_codes()[symbols]).hash(spot, spot + gram), return_inverse=True)
-        length = offsets[1:] - offsets[:-1]
-        start = (offsets[:-1][:, None] + np.arange(gram)).ravel()
+    def method(block: Block) -> np.ndarray:
+        seen: dict[bytes, int] = {}  # equal strings are one, in its first place
+        data = block.data.tobytes()
+        number = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(block.at[:-1].tolist(), block.at[1:].tolist(), strict=True)])
+        hit = later(number, block.doc, block.ver, block.first, False)[block.owner]
+        if len(seen) == 1:
+            return hit
+        text = np.frombuffer(b"".join(seen), np.uint8)
+        length = np.array([len(x) for x in seen])
+        start = np.cumsum(length) - length
+        if gram == 1:
+            symbols = text.astype(np.uint16) + 1
+        else:
+            spot = np.arange(len(text) - gram + 1)
+            symbols = exact_numbers(text, spot, spot + gram, range_codes(text, spot, spot + gram))[0] + 1
+        first = (start[:, None] + np.arange(gram)).ravel()  # a string for each phase
         count = ((length[:, None] - np.arange(gram)) // gram).ravel()
-        where, lcp = collection(names + 1, start + (count - 1) * gram, count, gram)
-        run = np.cumsum(lcp < window // gram) - 1
-        heads = np.flatnonzero(lcp < window // gram)
-        hit = np.zeros(len(owner), dtype=bool)
-        if len(where):
-            repeat = np.flatnonzero(where > np.minimum.reduceat(where, heads)[run])
-            place = where[repeat]
-            seg = np.searchsorted(offsets, place, side="right") - 1
-            hit[(np.cumsum(nwin) - nwin)[seg] + place - offsets[seg]] = True
+        where, lcp = collection(symbols, first + (count - 1) * gram, count, gram)
+        run = np.empty(len(text), np.int64)
+        run[where] = np.cumsum(lcp < window // gram)
+        rest = np.flatnonzero(~hit)
+        o, k = block.owner[rest], block.inner[rest]
+        hit[rest] = later(run[start[number[o]] + k], block.doc[o], block.ver[o], block.first[o] + k, False)
         return hit
 
     return method
@@ -149,12 +167,11 @@ def _kept(texts: bool):
 
 def removed_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gram: int = GRAM, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document; with ``texts`` also kept bytes, text and spans. ``gram`` divides ``window``."""
-    if window % gram:
-        raise ValueError("gram must divide window")
-    dealt, spans = repeats(docs, "byte", window, seed, False, by_collection(window, gram), hot)
-    joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+    if window % gram or window // gram > 255:
+        raise ValueError("gram must divide window, into 255 symbols at most")
+    found = repeats(docs, "byte", window, seed, False, by_collection(window, gram), hot)
     more = ", kept binary, text string, spans array<array<long>>" if texts else ""
-    return joined.mapInArrow(lean(_kept(texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    return found.mapInArrow(lean(_kept(texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
