@@ -67,17 +67,6 @@ class Symbols:
         else:
             self.codes, self.at, self.base = byte_codes()[data[offsets[0] : offsets[-1]]], offsets - offsets[0], offsets[0]
 
-    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Whether the ``size`` symbols from a and from b are the same bytes."""
-        if self.unit == "byte":
-            first = np.concatenate([a, b]) + self.base
-            return same_ranges(self.data, first, first + np.concatenate([size, size]), np.arange(len(a)), np.arange(len(a)) + len(a))
-        heads = np.cumsum(size) - size
-        inner = np.arange(size.sum()) - np.repeat(heads, size)
-        pairs, back = np.unique((inner + np.repeat(a, size)) * len(self.codes) + inner + np.repeat(b, size), return_inverse=True)
-        same = same_ranges(self.data, self.start, self.end, pairs // len(self.codes), pairs % len(self.codes))
-        return np.logical_and.reduceat(same[back], heads) if len(a) else np.zeros(0, bool)
-
     def bytes(self, a: int, b: int) -> bytes:
         """Symbols a to b as bytes, words parted by one space."""
         if self.unit == "byte":
@@ -90,6 +79,20 @@ def symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[
         yield i, j, Symbols(data, offsets[i : j + 1], unit)
 
 
+def same_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Whether the ``size`` words from a and from b are the same; the words' places are ``start`` and ``end``."""
+    out, sums, at = np.zeros(len(a), bool), np.cumsum(size), 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, side="right")))
+        n = size[at:to]
+        heads = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(heads, n)
+        pairs, back = np.unique((inner + np.repeat(a[at:to], n)) * len(start) + inner + np.repeat(b[at:to], n), return_inverse=True)
+        out[at:to] = np.logical_and.reduceat(same_ranges(data, start, end, pairs // len(start), pairs % len(start))[back], heads)
+        at = to
+    return out
+
+
 def context_codes(codes: np.ndarray, a: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     """A code for each range of ``window`` symbols or more: overlapping blocks of a power of two cover it."""
     s = 1 << window.bit_length() - 1
@@ -165,22 +168,33 @@ def anchors(unit: str, window: int, seed: int, strict: bool) -> Callable:
         for batch in batches:
             ids, vers = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "ver"))
             data, offsets = buffers(batch.column("text"))
+            parts, places, known = [], [], 0
             for i, j, sym in symbols(data, offsets, unit):
                 row, start, nwin, off, akey, ctx = runs(sym.codes, sym.at, window, seed)
-                if not len(row):
-                    continue
-                doc, ver, meta = ids[i:j][row], vers[i:j][row], pack(start, off, nwin, 0)
-                _, number = np.unique(join(akey.view(np.uint64), ctx), return_inverse=True)
-                again = later(number, doc, ver, meta, strict)
-                if again.any():  # confirmed against one of their group that isn't a repeat itself
-                    some = np.flatnonzero(again)
-                    order = np.lexsort((meta, ver, doc, number))
-                    lead = order[np.searchsorted(number[order], number[some])]
-                    a, b, size = (start + sym.at[row])[some], (start + sym.at[row])[lead], nwin[some] + (window - 1)
-                    good = (nwin[lead] == nwin[some]) & (off[lead] == off[some])
-                    good[good] = sym.equal(a[good], b[good], size[good])
-                    again[some[~good]] = False
-                yield _table(_ROWS, np.where(again, dealt_by_document(doc), akey), doc, ver, meta | again)
+                first = start + sym.at[row] + (known if unit == "word" else sym.base)  # among the batch's words or bytes
+                parts.append((ids[i:j][row], vers[i:j][row], pack(start, off, nwin, 0), akey, ctx, first))
+                if unit == "word":
+                    places.append((sym.start, sym.end))
+                    known += len(sym.start)
+            if not parts:
+                continue
+            doc, ver, meta, akey, ctx, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            _, number = np.unique(join(akey.view(np.uint64), ctx), return_inverse=True)
+            again = later(number, doc, ver, meta, strict)
+            some = np.flatnonzero(again)
+            if len(some):  # confirmed against one of their group that isn't a repeat itself
+                order = np.lexsort((meta, ver, doc, number))
+                lead = order[np.searchsorted(number[order], number[some])]
+                size = (meta[some] >> 2 & _ALL) + (window - 1)
+                good = (meta[some] ^ meta[lead]) & ((1 << 2 * _BITS + 2) - 1) == 0
+                a, b, size = first[some[good]], first[lead[good]], size[good]
+                if unit == "word":
+                    good[good] = same_words(data, *(np.concatenate(x) for x in zip(*places, strict=True)), a, b, size)
+                else:
+                    good[good] = same_ranges(data, np.concatenate([a, b]), np.concatenate([a + size, b + size]), np.arange(len(a)), np.arange(len(a)) + len(a))
+                again[some[~good]] = False
+            yield from _sliced(_ROWS, np.where(again, dealt_by_document(doc), akey), doc, ver, meta | again)
 
     return run
 
@@ -305,7 +319,7 @@ class Block:
         return self.doc[o], self.ver[o], self.first[o] + self.inner[up], self.first[o] + self.inner[down] + window
 
 
-def refine(window: int, method: Callable, block: int = 1 << 18) -> Callable:
+def refine(window: int, method: Callable, block: int = 1 << 20) -> Callable:
     """method(block) tells for each context's each window whether it is a repeat."""
 
     def run(batches):

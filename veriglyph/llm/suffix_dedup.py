@@ -2,7 +2,7 @@
 
 The collection's strings are the pieces of documents that winnowed seeds mark as possible repeats (``repeats``; a
 window whose seed is found nowhere else can't repeat). Classes of a seed are independent collections, and a task takes
-about 256 KiB of strings at a time, equal ones once. Every round inserts one byte of each string, from the right: the byte takes
+about 1 MiB of strings at a time, equal ones once. Every round inserts one byte of each string, from the right: the byte takes
 the place of its string's end mark in the Burrows-Wheeler transform, ranks among equal bytes tell where the longer suffixes belong,
 and one pass merges them into the transform and into the common prefixes. Runs of common prefixes of a window or
 more hold equal windows, told by the bytes and not by hashes.
@@ -34,17 +34,22 @@ from .rolling import exact_numbers, lean, range_codes
 WINDOW, SEED, GRAM = 100, 32, 1
 
 
-def _range_min(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The least of x[lo:hi] by a table of the minima over runs of 2**k."""
-    k = np.frexp(hi - lo)[1] - 1
-    out = np.empty(len(lo), levels[0].dtype)
-    for level in np.unique(k):
-        at = np.flatnonzero(k == level)
-        x = levels[level]
-        out[at] = np.minimum(x[lo[at]], x[hi[at] - (1 << int(level))])
+def _minima(x: np.ndarray) -> np.ndarray:
+    """In row k the least of each 2**k adjoining items."""
+    out = np.empty((max(1, len(x).bit_length()), len(x)), x.dtype)
+    out[0] = x
+    for k in range(1, len(out)):
+        n, half = len(x) - (1 << k) + 1, 1 << k - 1
+        np.minimum(out[k - 1, :n], out[k - 1, half : half + n], out=out[k, :n])
     return out
 
 
+def _range_min(table: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of x[lo:hi]."""
+    k = np.frexp(hi - lo)[1] - 1
+    return np.minimum(table[k, lo], table[k, hi - (1 << k)])
+
+
 def collection(symbols: np.ndarray, last: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of many strings in order, and each one's prefix in common with the one before it, in symbols (255 at most).
 
@@ -61,29 +66,22 @@ def collection(symbols: np.ndarray, last: np.ndarray, count: np.ndarray, step: i
         live = np.flatnonzero(count > k)
         bwt[place[live]] = symbols[last[live] - k * step]
         order = _followed(bwt)
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(z, z + len(order))  # where the suffix longer by that symbol belongs
-        place[live] = rank[place[live]]
-        total = z + len(order)
-        old = np.ones(total, dtype=bool)
-        old[place[live]] = False
+        fresh, owner = np.zeros(len(bwt), bool), np.empty(len(bwt), np.int32)
+        fresh[place[live]], owner[place[live]] = True, live
+        fresh = fresh[order]  # which of the suffixes with a symbol are new, in their order
+        at = np.flatnonzero(fresh)
+        old = np.ones(z + len(order), dtype=bool)
+        old[z + at] = False
         if len(live) < z:  # whole strings move with what is merged before them
             done = np.flatnonzero(count <= k)
-            place[done] = np.flatnonzero(old)[place[done]]
-        levels = [lcp]
-        while 2 << (len(levels) - 1) <= len(lcp):
-            x, half = levels[-1], 1 << (len(levels) - 1)
-            levels.append(np.minimum(x[:-half], x[half:]))
-        merged_bwt, merged_lcp = np.zeros(total, kind), np.zeros(total, np.uint8)
+            place[done] += np.searchsorted(z + at - np.arange(len(at)), place[done], side="right")
+        place[owner[order[at]]] = z + at
+        merged_bwt, merged_lcp = np.zeros(len(old), kind), np.zeros(len(old), np.uint8)
         merged_bwt[old], merged_lcp[old] = bwt, lcp
-        fresh = ~old[z:]
-        fresh[1:] |= ~old[z:-1]  # a new suffix and the one behind it
-        ask = np.flatnonzero(fresh[1:]) + 1
-        same = ask[bwt[order[ask - 1]] == bwt[order[ask]]]
-        merged_lcp[z + ask] = 0
+        ask = np.flatnonzero(fresh[1:] | fresh[:-1]) + 1  # a new suffix and the one behind it
+        a, b = order[ask - 1], order[ask]
+        merged_lcp[z + ask] = np.where(bwt[a] == bwt[b], 1 + np.minimum(_range_min(_minima(lcp), np.minimum(a + 1, b), b + 1), 254), 0)
         merged_lcp[z] = 0
-        if len(same):
-            merged_lcp[z + same] = 1 + np.minimum(_range_min(levels, order[same - 1] + 1, order[same] + 1), 254)
         bwt, lcp = merged_bwt, merged_lcp
     order, where = _followed(bwt), np.zeros(len(bwt) - z, np.int64)
     live, first = np.flatnonzero(count > 0), last - (count - 1) * step
@@ -103,14 +101,18 @@ def _followed(bwt: np.ndarray) -> np.ndarray:
 
 def by_collection(window: int, gram: int):
     def method(block: Block) -> np.ndarray:
-        seen: dict[bytes, int] = {}  # equal strings are one, in its first place
-        data = block.data.tobytes()
-        number = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(block.at[:-1].tolist(), block.at[1:].tolist(), strict=True)])
+        seen: dict[tuple[int, bytes], int] = {}  # equal strings are one, in its first place
+        data, keys = block.data.tobytes(), block.akey.tolist()
+        number = np.array([seen.setdefault((k, data[a:b]), len(seen)) for k, a, b in zip(keys, block.at[:-1].tolist(), block.at[1:].tolist(), strict=True)])
         hit = later(number, block.doc, block.ver, block.first, False)[block.owner]
-        if len(seen) == 1:
+        _, kind, of_kind = np.unique(np.array([k for k, _ in seen]), return_inverse=True, return_counts=True)
+        several = of_kind[kind] > 1  # a class's only string shares no window: its own hang on one anchor, so they differ
+        several = np.flatnonzero(several)
+        if not len(several):
             return hit
-        text = np.frombuffer(b"".join(seen), np.uint8)
-        length = np.array([len(x) for x in seen])
+        strings = [x for _, x in seen]
+        text = np.frombuffer(b"".join(strings[k] for k in several.tolist()), np.uint8)
+        length = np.array([len(strings[k]) for k in several.tolist()])
         start = np.cumsum(length) - length
         if gram == 1:
             symbols = text.astype(np.uint16) + 1
@@ -122,9 +124,11 @@ def by_collection(window: int, gram: int):
         where, lcp = collection(symbols, first + (count - 1) * gram, count, gram)
         run = np.empty(len(text), np.int64)
         run[where] = np.cumsum(lcp < window // gram)
-        rest = np.flatnonzero(~hit)
+        chosen = np.full(len(strings), -1)
+        chosen[several] = np.arange(len(several))
+        rest = np.flatnonzero(~hit & (chosen[number] >= 0)[block.owner])
         o, k = block.owner[rest], block.inner[rest]
-        hit[rest] = later(run[start[number[o]] + k], block.doc[o], block.ver[o], block.first[o] + k, False)
+        hit[rest] = later(run[start[chosen[number[o]]] + k], block.doc[o], block.ver[o], block.first[o] + k, False)
         return hit
 
     return method
