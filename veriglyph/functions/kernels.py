@@ -134,24 +134,19 @@ def distance(a: str, b: str, costs: Costs) -> dict:
     }
 
 
-def folds(value: str, table: dict[str, str], substitutes: dict[str, str], most: int) -> list[str]:
-    """Readings of a value with substitutes undone and separators left out: at most ``most`` after each character, in order."""
-    found = [""]
-    for ch in skeleton(nfkc(value), table):
-        plain = ch if re.fullmatch("[a-z0-9]", ch) else ""
-        options = list(dict.fromkeys([plain, *substitutes.get(ch, "")]))
-        found = list(dict.fromkeys(head + o for head in found for o in options))[:most] if len(found) * len(options) <= 4 * most else _first(found, options, most)
-    return list(dict.fromkeys(x for f in found if (x := re.sub("[^a-z0-9]+", "", f))))
+def _distinct(items: Iterable[str]) -> Iterator[str]:
+    seen: set[str] = set()
+    return (x for x in items if not (x in seen or seen.add(x)))
+
 
+def folds(value: str, table: dict[str, str], substitutes: dict[str, str], most: int) -> list[str]:
+    """Readings of a value with substitutes undone and separators left out: at most ``most`` after each character, in order.
 
-def _first(found: list[str], options: list[str], most: int) -> list[str]:
-    out: dict[str, None] = {}
-    for head in found:
-        for o in options:
-            out[head + o] = None
-            if len(out) >= most:
-                return list(out)
-    return list(out)
+    A character can be read as itself, if it is one of a-z or 0-9 (else as nothing), and as each of its substitutes.
+    """
+    readings = ([ch if ch.isascii() and ch.isalnum() and ch == ch.lower() else "", *substitutes.get(ch, "")] for ch in skeleton(nfkc(value), table))
+    heads = reduce(lambda heads, tails: list(islice(_distinct(map("".join, product(heads, tails))), most)), readings, [""])
+    return [x for x in _distinct("".join(c for c in head if c.isascii() and c.isalnum() and not c.isupper()) for head in heads) if x]
 
 
 def _ranges(kinds: str, extra: str) -> str:
@@ -235,34 +230,36 @@ def scan(text: str, entries: dict[str, tuple], everywhere: bool, terms: list[str
     return {"has_confusables": bool(findings), "count": len(findings), "findings": findings, "distinct_chars": len({f["char"] for f in findings}), "words_affected": len(words), "scripts_detected": sorted({f["script"] for f in findings}, key=lambda s: (s.lower(), s)), "risk_level": level}
 
 
-def max_length(pattern: str, fallback: int = 30) -> int:
-    """The longest of some probes that a pattern takes, found by halving 1 to 100."""
-    test = re.compile(pattern)
-    lo, hi, best = 1, 100, fallback
-    while lo <= hi:
-        mid = (lo + hi) // 2
-        if any(test.search((p * mid)[:mid]) for p in ("a", "1", "a1", "a-1")):
-            best, lo = mid, mid + 1
-        else:
-            hi = mid - 1
-    return best
-
-
-def is_unique_violation(error) -> bool:
-    """Whether an error, or one that it was raised from or holds, tells of a duplicate key."""
-    queue, seen = [error], set()
-    while queue:
-        e = queue.pop(0)
-        if e is None or id(e) in seen or isinstance(e, (str, int, float, bool)):
-            continue
-        seen.add(id(e))
-        get = e.get if isinstance(e, dict) else lambda k, e=e: getattr(e, k, None)
-        code, errno = get("code"), get("errno")
-        message = str(get("message") or (e if isinstance(e, BaseException) else "")).lower()
-        if code in ("23505", "P2002", "ER_DUP_ENTRY", "SQLITE_CONSTRAINT", "SQLITE_CONSTRAINT_UNIQUE", "11000") or (code == 11000 and code is not True) or errno in (1062, 11000) or get("sqlstate") == "23505":
-            return True
-        if any(t in message for t in ("duplicate key", "unique constraint", "unique violation", "already exists", "e11000", "constraint failed")):
-            return True
-        queue += [get("cause") or getattr(e, "__cause__", None), get("parent"), get("original"), get("meta")]
-    return False
+#: What names are made of when a pattern's longest is looked for, and the length up to which it is.
+SAMPLES, LONGEST = ("a", "1", "a1", "a-1"), 100
+
 
+def max_length(pattern: str, fallback: int = 30) -> int:
+    """The most characters, up to LONGEST, of a name that a pattern takes: its parsed width, where a name of samples that long fits."""
+    takes = re.compile(pattern).search
+    width = min(re._parser.parse(pattern).getwidth()[1], LONGEST)
+    fitting = (n for n in (width, *range(LONGEST, 0, -1)) if n and any(takes((s * n)[:n]) for s in SAMPLES))
+    return next(fitting, fallback)
+
+
+#: What database drivers call a duplicate key, and where an error keeps the one behind it.
+DUPLICATE_CODES = {"23505", "P2002", "ER_DUP_ENTRY", "SQLITE_CONSTRAINT", "SQLITE_CONSTRAINT_UNIQUE", "11000"}
+DUPLICATE_NUMBERS = {1062, 11000}
+DUPLICATE_PHRASES = ("duplicate key", "unique constraint", "unique violation", "already exists", "e11000", "constraint failed")
+INNER = ("cause", "__cause__", "parent", "original", "meta")
+
+
+def is_unique_violation(error, depth: int = 6) -> bool:
+    """Whether an error, or one up to ``depth`` - 1 steps behind it, tells of a duplicate key."""
+    if depth == 0 or error is None or isinstance(error, (str, bool, int, float)):
+        return False
+    fields = error if isinstance(error, dict) else {k: getattr(error, k, None) for k in ("code", "errno", "sqlstate", "message", *INNER)}
+    told = fields.get("message") or (error if isinstance(error, BaseException) else "")
+    marks = {str(fields.get("code")), str(fields.get("sqlstate"))}
+    number = fields.get("errno")
+    return (
+        not marks.isdisjoint(DUPLICATE_CODES)
+        or (isinstance(number, int) and number in DUPLICATE_NUMBERS)
+        or any(phrase in str(told).lower() for phrase in DUPLICATE_PHRASES)
+        or any(is_unique_violation(fields.get(k), depth - 1) for k in INNER)
+    )
