@@ -49,7 +49,7 @@ def partitions(df: DataFrame) -> int:
 
 
 def pack(start, off, nwin, kind):
-    """A run's place in one integer; kind 1: settled as a repeat; 2: to be cut into windows."""
+    """A run's place in one integer; kind 2: to be cut into windows."""
     return (((np.asarray(start, np.int64) << _BITS | off) << _BITS | nwin) << 2) | kind
 
 
@@ -57,6 +57,17 @@ def unpack(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return meta >> (2 * _BITS + 2), meta >> (_BITS + 2) & _ALL, meta >> 2 & _ALL, meta & 3
 
 
+def pack_span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A settled span in one integer, of kind 1."""
+    return (lo.astype(np.uint64) << np.uint64(33) | (hi - lo).astype(np.uint64) << np.uint64(2) | np.uint64(1)).view(np.int64)
+
+
+def unpack_span(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    m = np.ascontiguousarray(meta, np.int64).view(np.uint64)
+    lo = (m >> np.uint64(33)).astype(np.int64)
+    return lo, lo + (m >> np.uint64(2) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
 class Symbols:
     """Adjoining rows' symbols (words or bytes): each one's code, first byte and end, and the rows' offsets among them."""
 
@@ -172,14 +183,16 @@ def anchors(unit: str, window: int, seed: int, strict: bool) -> Callable:
             for i, j, sym in symbols(data, offsets, unit):
                 row, start, nwin, off, akey, ctx = runs(sym.codes, sym.at, window, seed)
                 first = start + sym.at[row] + (known if unit == "word" else sym.base)  # among the batch's words or bytes
-                parts.append((ids[i:j][row], vers[i:j][row], pack(start, off, nwin, 0), akey, ctx, first))
+                if len(row):
+                    parts.append((row + i, pack(start, off, nwin, 0), akey, ctx, first))
                 if unit == "word":
                     places.append((sym.start, sym.end))
                     known += len(sym.start)
             if not parts:
                 continue
-            doc, ver, meta, akey, ctx, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row, meta, akey, ctx, first = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
+            doc, ver = ids[row], vers[row]
             _, number = np.unique(join(akey.view(np.uint64), ctx), return_inverse=True)
             again = later(number, doc, ver, meta, strict)
             some = np.flatnonzero(again)
@@ -194,7 +207,13 @@ def anchors(unit: str, window: int, seed: int, strict: bool) -> Callable:
                 else:
                     good[good] = same_ranges(data, np.concatenate([a, b]), np.concatenate([a + size, b + size]), np.arange(len(a)), np.arange(len(a)) + len(a))
                 again[some[~good]] = False
-            yield from _sliced(_ROWS, np.where(again, dealt_by_document(doc), akey), doc, ver, meta | again)
+            yield from _sliced(_ROWS, akey[~again], doc[~again], ver[~again], meta[~again])
+            start, _, nwin, _ = unpack(meta[again])
+            row, lo, hi = row[again], start, start + nwin + window - 1
+            new = np.append(True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1]))[: len(row)]
+            head = np.flatnonzero(new)
+            row, span = row[head], pack_span(lo[head], hi[np.append(head[1:], len(row)) - 1]) if len(head) else lo
+            yield from _sliced(_ROWS, dealt_by_document(ids[row]), ids[row], vers[row], span)
 
     return run
 
@@ -272,8 +291,8 @@ def segments(unit: str, window: int, strict: bool) -> Callable:
                 for r in range(i, j):
                     k, m = akey[at[r] : at[r + 1]], meta[at[r] : at[r + 1]]
                     start, _, nwin, kind = unpack(m)
-                    settled, base, d, v = kind == 1, sym.at[r - i], int(ids[r]), int(vers[r])
-                    lo, hi = merged(start[settled], (start + nwin + window - 1)[settled])
+                    base, d, v = sym.at[r - i], int(ids[r]), int(vers[r])
+                    lo, hi = merged(*unpack_span(m[kind == 1]))
                     x = int(dealt_by_document(ids[r : r + 1])[0])
                     outs += [(x, d, v, a << 2 | 1, b.to_bytes(8, "little")) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                     todo = kind == 0
@@ -357,7 +376,8 @@ def versioned(docs: DataFrame) -> DataFrame:
     """(doc_id, ver, text): ``ver`` is 0 unless some doc_id has several rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return docs.select("doc_id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("ver"), "text")
+    # not a literal, which would leave the join's keys but not the dealing's, so that texts were dealt twice
+    return docs.select("doc_id", (F.col("doc_id") % 1 if unique else F.xxhash64("text")).alias("ver"), "text")
 
 
 def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, method: Callable, hot: int = HOT) -> DataFrame:
