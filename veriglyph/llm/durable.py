@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that spark.checkpoint.dir names; only where none is named (one machine), to a temporary one."""
+    """Checkpoints go to the shared folder that spark.checkpoint.dir names. Only on one machine may none be named: a temporary one is taken."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriglyph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veriglyph-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ lower-cased, other ASCII than letters one space) that are present in them. A tex
 landmarks come from one matrix product for each batch of texts; one more product gives a score for each language,
 by one-versus-rest ridge regression in the landmarks' span.
 
-Bounds, all parameters: at most ``per_language`` training rows of each of the ``languages`` commonest labels (those with
-the smallest hashes of doc_id), ``landmarks`` of them as landmarks, and the ``vocabulary`` n-grams that most landmarks
-hold as the kernel's n-grams. Every whole text is scored.
+All labels are learnt, and all n-grams of the landmarks are the kernel's (others meet none of them). Bounds, all parameters, of
+labelled rows alone: ``per_language`` training rows of each label, those with the smallest hashes, less where labels are so many
+that ``sample`` rows would be passed (an error if there are more labels than that); ``landmarks`` of them, as many of each label,
+drawn by a hash of their n-grams, are landmarks. Every whole text is scored.
 
 Defined results: null or letterless text is ``und`` with score 0; without any labelled row every text is ``und``; rows with
 null doc_id have held_out null and are scored; repeated rows are scored each; an empty table gives no rows;
@@ -16,6 +17,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .rolling import buffers, chunks, trim
 
-PER_LANGUAGE, LANGUAGES, LANDMARKS, VOCABULARY, RIDGE = 240, 64, 256, 4096, 1e-4
+PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 240, 16384, 256, 1e-4
 ORDERS = (1, 2, 3)
-#: Texts multiplied at a time.
-BATCH = 128
+#: Texts multiplied at a time, fewer if their presence would pass so many numbers.
+BATCH, CELLS = 128, 1 << 23
 #: N-grams of spaces alone, which tell nothing.
 BLANK = {n: int.from_bytes(b" " * n, "big") for n in ORDERS}
 #: A text resembles a label with this part of its training texts' share of known n-grams, less by DOUBT / sqrt(distinct n-grams).
@@ -74,7 +76,7 @@ class Model:
         if not hasattr(self, "_tables"):
             self._tables, at = [], 0
             for n, codes in zip(ORDERS, self.vocabulary, strict=True):
-                table = np.full(1 << 8 * n, self.size, np.uint16)
+                table = np.full(1 << 8 * n, self.size, np.uint16 if self.size < 1 << 16 else np.int32)
                 table[codes] = np.arange(at, at + len(codes))
                 at += len(codes)
                 self._tables.append(table)
@@ -84,6 +86,10 @@ class Model:
     def size(self) -> int:
         return sum(map(len, self.vocabulary))
 
+    @property
+    def batch(self) -> int:
+        return max(1, min(BATCH, CELLS // (self.size + 1)))
+
     def presence(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The scaled sets: products of two rows are kernel values."""
         rows, width = len(offsets) - 1, self.size + 1
@@ -104,7 +110,7 @@ class Model:
             shares += np.bincount(row[inside], minlength=rows) / np.maximum(count, 1)
             orders += count > 0
             held = np.zeros(rows * (self.size + 1), bool)
-            held[row[inside] * (self.size + 1) + column[inside]] = True
+            held[row[inside] * (self.size + 1) + column[inside].astype(np.int64)] = True
             other = np.unique(row[~inside] << 32 | code[~inside].astype(np.int64)) >> 32
             distinct += held.reshape(rows, -1).sum(axis=1) + np.bincount(other, minlength=rows)
         return shares / np.maximum(orders, 1), distinct
@@ -151,38 +157,53 @@ def _share(codes: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray) -> flo
     return float(np.mean(shares)) if shares else 0.0
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, landmarks: int = LANDMARKS, vocabulary: int = VOCABULARY, ridge: float = RIDGE) -> Model | None:
+def sampled(known: DataFrame, per_language: int, sample: int) -> DataFrame:
+    """(lang, text) of the training rows: of each label those of smallest hash, equal rows once. Only keys are sorted; texts stay where they are."""
+    labels = known.select("lang").distinct().count()
+    if labels > sample:
+        raise ValueError(f"{labels} labels are more than sample = {sample}")
+    each = max(1, min(per_language, sample // max(1, labels)))
+    keys = known.select("lang", "doc_id", F.xxhash64("text").alias("version")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "version")
+    chosen = keys.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).drop("k")  # ``sample`` rows at most
+    rows = known.withColumn("version", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "version"])
+    return rows.dropDuplicates(["lang", "doc_id", "version"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model of the rows' ``lang``. Only bounded samples reach the driver."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    common = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not common:
+    found = sampled(known, per_language, sample).mapInArrow(_present, "lang string, codes binary, counts binary").collect()
+    if not found:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.filter(F.col("lang").isin(common)).select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).collect()
-    rows = known.filter(F.col("doc_id").isin([r.doc_id for r in chosen])).filter(F.col("lang").isin(common)).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
-    rows = [(r.lang, np.frombuffer(r.codes, np.uint32), np.frombuffer(r.counts, np.int64)) for r in rows.mapInArrow(_present, "lang string, codes binary, counts binary").collect()]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+    rows = [(r.lang, np.frombuffer(r.codes, np.uint32), np.frombuffer(r.counts, np.int64)) for r in found]
+    rows.sort(key=lambda r: (r[0], hashlib.blake2b(r[1].tobytes()).digest(), r[2].tobytes()))
     labels = sorted({r[0] for r in rows})
     each, marks = max(1, landmarks // len(labels)), []
     for label in labels:
         marks += [k for k, r in enumerate(rows) if r[0] == label][:each]
-    codes, count = np.unique(np.concatenate([rows[k][1] for k in marks]), return_counts=True)
-    codes = np.sort(codes[np.lexsort((codes, -count))[:vocabulary]])
+    codes = np.unique(np.concatenate([rows[k][1] for k in marks]))
     split = [codes[codes >> 24 == n] & np.uint32(0xFFFFFF) for n in ORDERS]
-    x = np.zeros((len(rows), len(codes)), np.float32)
-    for k, (_, present, _) in enumerate(rows):
-        at = np.searchsorted(codes, present)
-        at[at == len(codes)] = 0
-        x[k, at[codes[at] == present]] = 1
-    x = scaled(x, split)
-    marked = x[marks]
-    k_nm, k_mm = (x @ marked.T).astype(np.float64), (marked @ marked.T).astype(np.float64)
+    marked = scaled(_rows_of([rows[k][1] for k in marks], codes), split)
+    step = max(1, CELLS // max(1, len(codes)))
+    k_nm = np.concatenate([scaled(_rows_of([r[1] for r in rows[i : i + step]], codes), split) @ marked.T for i in range(0, len(rows), step)]).astype(np.float64)
+    k_mm = (marked @ marked.T).astype(np.float64)
     y = np.where(np.array([r[0] for r in rows])[:, None] == np.array(labels), 1.0, -1.0)
     weights = np.linalg.lstsq(k_nm.T @ k_nm + ridge * len(rows) * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ y, rcond=None)[0]
     shares = [[_share(present, counts, codes) for label, present, counts in rows if label == x and len(present)] for x in labels]
     return Model(labels, split, marked, weights.astype(np.float32), np.array([np.quantile(s, QUANTILE) if s else 0.0 for s in shares]))
 
 
+def _rows_of(present: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """(texts, codes): which n-grams each text has."""
+    x = np.zeros((len(present), len(codes)), np.float32)
+    for k, p in enumerate(present):
+        at = np.searchsorted(codes, p)
+        at[at == len(codes)] = 0
+        x[k, at[codes[at] == p]] = 1
+    return x
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, resemblance: bool = False) -> DataFrame:
     """The columns ``keep`` (default doc_id), then lang_pred and score, for each row; with ``resemblance`` also ``resembles``, false for texts unlike all that was learnt."""
     keep = ["doc_id"] if keep is None else keep
@@ -201,8 +222,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
             data, offsets = buffers(batch.column(source))
             found, like = [], []
             for i, j in chunks(offsets):
-                for a in range(i, j, BATCH):
-                    b = min(j, a + BATCH)
+                for a in range(i, j, model.batch):
+                    b = min(j, a + model.batch)
                     part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                     found.append(model.score(*part))
                     if resemblance:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .durable import components, cut
-from .repeats import _whole
+from .repeats import partitions
 from .rolling import buffers, chunks, join, lean, mix, sliding, words
 
 SHINGLE, NUM, DEN = 5, 85, 100
@@ -248,8 +248,7 @@ def _confirm(num: int, den: int):
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) per document."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     found = cut(docs.mapInArrow(lean(features(shingle)), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"))
     classes = cut(found.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
@@ -257,6 +256,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     first = found.filter("n > 0").join(members, (found.doc_id == members.a) & (found.n == members.n) & (found.h1 == members.h1) & (found.h2 == members.h2), "left_semi")
     bucketed = first.select("doc_id", F.explode("bands").alias("key"))
     shared = bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one < other").select("key", "size")
+    shared = cut(shared)  # tables on both sides of a join by band let hot bands be split
     bucketed = cut(bucketed.join(shared, "key").select("key", "size", F.col("doc_id").alias("a")))
     known = cut(first.join(bucketed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "n", "sig", "bands").dropDuplicates(["a"]))
     sets = cut(docs.join(known.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets(shingle)), "doc_id long, hashes binary").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")))
@@ -267,6 +267,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
 
     score = bucketed.groupBy("a").agg(F.sum("size").alias("score"))
     hubs = bucketed.join(score, "a").groupBy("key").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("h")).select("key", (-F.col("h.a")).alias("b"))
+    hubs = cut(hubs)
     star = bucketed.join(hubs, "key").filter("a <> b").select("a", "b").distinct()
     other = known.selectExpr("a as b", "n as nb", "sig as sb")
     star = star.join(known.selectExpr("a", "n as na", "sig as sa"), "a").join(other, "b")
@@ -274,6 +275,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     labels = components(links)
     placed = bucketed.join(labels.selectExpr("node as a", "component"), "a", "left").select("key", "size", "a", F.coalesce("component", "a").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    open_keys = cut(open_keys)
     rest = cut(placed.join(open_keys, "key", "left_semi").join(known, "a"))
     one = rest.filter(F.col("size") <= SMALL).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "a", "component", "n", "sig", "bands")
     pairs = one.repartition(parts, "key").mapInArrow(lean(pairs_of_small(num, den)), "a long, b long")
@@ -285,9 +287,11 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     more = cut(confirmed(pairs).union(met))
     if not more.isEmpty():
         labels = components(links.union(more))
-    joined = found.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(labels.selectExpr("node as class_id", "component"), "class_id", "left")
-    joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return joined.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
+    # components are told to classes, one row each, before documents meet them; empty sets, which are no class, meet nothing
+    told = cut(classes.join(labels.selectExpr("node as class_id", "component"), "class_id", "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component")))
+    linked = found.filter("n > 0").select("doc_id", "n", "h1", "h2").join(told, ["n", "h1", "h2"]).select("doc_id", "n", "component", "class_id")
+    joined = linked.union(found.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.col("doc_id").alias("class_id")))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "class_id")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

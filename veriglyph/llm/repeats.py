@@ -376,8 +376,8 @@ def versioned(docs: DataFrame) -> DataFrame:
     """(doc_id, ver, text): ``ver`` is 0 unless some doc_id has several rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    # not a literal, which would leave the join's keys but not the dealing's, so that texts were dealt twice
-    return docs.select("doc_id", (F.col("doc_id") % 1 if unique else F.xxhash64("text")).alias("ver"), "text")
+    # neither a literal nor nullable: either would change one plan of the dealt texts and not the other, so that they were dealt twice
+    return docs.select("doc_id", (F.coalesce(F.col("doc_id") % 1, F.lit(0)) if unique else F.xxhash64("text")).cast("long").alias("ver"), "text")
 
 
 def repeats(docs: DataFrame, unit: str, window: int, seed: int, strict: bool, method: Callable, hot: int = HOT) -> DataFrame:

@@ -19,7 +19,8 @@ U+2581 in a text decodes as a space; repeated rows are encoded each; an empty ta
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,23 @@ class Vocabulary:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    @cache  # noqa: B019
+    @lru_cache(maxsize=256)  # noqa: B019
     def run(self, n: int) -> list[int]:
-        """The ids of n spaces."""
-        parts = [1] * n
-        while True:
-            found = [(-self.run_scores[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in self.runs]
-            if not found:
-                return [self.runs[p] for p in parts]
-            at = min(found)[1]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """The ids of n spaces: neighbours are merged by score, then from the left, out of a heap."""
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-self.run_scores[2], i, 1, 1) for i in range(n - 1)] if 2 in self.runs else []
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if size[i] != a or j >= n or size[j] != b:  # merged since
+                continue
+            size[i], size[j], after[i] = a + b, 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for p, q in ((before[i], i), (i, after[i])):
+                if p >= 0 and q < n and size[p] + size[q] in self.runs:
+                    heappush(heap, (-self.run_scores[size[p] + size[q]], p, size[p], size[q]))
+        return [self.runs[s] for s in size if s]
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The number of the piece that a and b make, or a huge one."""
@@ -185,6 +193,14 @@ def relax(voc: Vocabulary, text: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
     part = np.searchsorted(bounds, place, side="right") - 1
     inside = place + length <= bounds[part + 1]
     place, piece, length, part = place[inside], piece[inside], length[inside], part[inside]
+    asked = bounds
+    if np.diff(bounds).max(initial=0) > LONG:
+        # no token crosses a border that no edge crosses, nor can tokens merge across it: long parts are cut there
+        crossing = np.cumsum(np.bincount(place + 1, minlength=len(text) + 2) - np.bincount(place + length, minlength=len(text) + 2))[: len(text)]
+        open_ = lead[crossing[lead] == 0]
+        open_ = open_[np.diff(bounds)[np.searchsorted(bounds, open_, side="right") - 1] > LONG]
+        bounds = np.union1d(bounds, open_)
+        part = np.searchsorted(bounds, place, side="right") - 1
     # slot bounds[p] + p + k stands for the border after k bytes of part p
     start = place + part
     end = start + length
@@ -235,7 +251,7 @@ def relax(voc: Vocabulary, text: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
     out = np.empty(offsets[-1], np.int64)
     for k, (o, t) in enumerate(back):
         out[offsets[o] + count[o] - 1 - k] = t
-    return out, offsets
+    return out, offsets[np.searchsorted(bounds, asked)]
 
 
 def encode_parts(voc: Vocabulary, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
