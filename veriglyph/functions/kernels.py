@@ -9,7 +9,9 @@ import math
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from itertools import islice, product
 
 from .tables import divergent, nfkc
 
