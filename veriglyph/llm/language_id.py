@@ -6,7 +6,7 @@ landmarks come from one matrix product for each batch of texts; one more product
 by one-versus-rest ridge regression in the landmarks' span.
 
 All labels are learnt, and all n-grams of the landmarks are the kernel's (others meet none of them). Bounds, all parameters, of
-labelled rows alone: ``per_language`` training rows of each label, those with the smallest hashes, less where labels are so many
+labelled rows alone: ``per_language`` training rows of each label, those with the smallest hashes (of about eight times as many drawn by hash), less where labels are so many
 that ``sample`` rows would be passed (an error if there are more labels than that); ``landmarks`` of them, as many of each label,
 drawn by a hash of their n-grams, are landmarks. Every whole text is scored.
 
@@ -159,11 +159,15 @@ def _share(codes: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray) -> flo
 
 def sampled(known: DataFrame, per_language: int, sample: int) -> DataFrame:
     """(lang, text) of the training rows: of each label those of smallest hash, equal rows once. Only keys are sorted; texts stay where they are."""
-    labels = known.select("lang").distinct().count()
-    if labels > sample:
-        raise ValueError(f"{labels} labels are more than sample = {sample}")
-    each = max(1, min(per_language, sample // max(1, labels)))
-    keys = known.select("lang", "doc_id", F.xxhash64("text").alias("version")).distinct()
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(sample + 1).collect()}
+    if len(sizes) > sample:
+        raise ValueError(f"there are more labels than sample = {sample}")
+    each = max(1, min(per_language, sample // max(1, len(sizes))))
+    # of a label's rows about eight times as many as are wanted, those of smallest hash, go on: so no label is sorted whole
+    cuts = [(lang, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 8 * each / n)))) for lang, n in sizes.items()]
+    cuts = F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    near = known.join(cuts, "lang").filter(F.xxhash64("doc_id") <= F.col("cut"))
+    keys = near.select("lang", "doc_id", F.xxhash64("text").alias("version")).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "version")
     chosen = keys.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).drop("k")  # ``sample`` rows at most
     rows = known.withColumn("version", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "version"])

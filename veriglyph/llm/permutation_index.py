@@ -1,12 +1,13 @@
 """Operator 4, approximate nearest neighbours: permutation index.
 
-Pivots are drawn from a bounded sample of the vectors' directions; their number grows with the root of the number of vectors.
-A vector is represented by its ``prefix`` nearest pivots in order. The index is dealt by nearest pivot and by band of length
-(a band spans a factor of the square root of 2, so that directions decide inside one); each such *list* has its vectors posted,
-with their places, in inverted files of all pivots in their prefixes. A query goes to the ``probes`` lists that promise most
-(upper length times cosine of query and pivot), walks the files of its own nearest pivots there, sums the footrule distance
+Pivots are drawn from a bounded sample of the vectors' directions. A vector is represented by its ``prefix`` nearest pivots in order.
+The index is dealt by the nearest of the first few pivots, whose number grows with the root of the number of vectors, and by
+band of length (a band spans a factor of the square root of 2, so that directions decide inside one); each such *list* has its
+vectors posted, with their places, in inverted files of all pivots in their prefixes. A query goes to the ``probes`` lists that promise most
+(the largest product to be expected of as many vectors as the list has, by its length, the cosine of query and pivot and
+the usual cosine of vectors and their list's pivot), walks the files of its own nearest pivots there, sums the footrule distance
 |place in the query's order - place in the vector's order|, a pivot missing from a prefix counting as place ``prefix``,
-and the ``share`` of each list that is nearest by footrule is reranked by inner product on the original vectors.
+and the ``share`` of each list that is nearest by footrule (and ``k`` + 1 more) is reranked by inner product on the original vectors.
 
 ``probes`` and ``share`` aren't guessed: a bounded sample of queries is answered by brute force over all vectors, in one pass; a second one
 ranks those true neighbours by footrule in their lists. The fewest lists that hold ``target`` of them are probed, and the least
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from .durable import cut
 
 K, EVERY = 20, 20
-#: Pivots: twice the root of the number of distinct vectors, within these; drawn from a sample.
-LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, PREFIX = 16, 2048, 4096, 16
+#: Pivots, drawn from a sample, and places in an order. For lists an eighth of the root of the number of distinct vectors, within two bounds.
+PIVOTS, SAMPLE, PREFIX, LEAST_LISTS, MOST_LISTS = 128, 4096, 32, 8, 2048
 #: The part of the true neighbours of so many sampled queries that must be in the probed lists, and, of those, in what is reranked.
-TARGET, ASKED = 0.98, 128
+TARGET, ASKED = 0.97, 128
 BLOCK, QUERIES = 4096, 1024
 
 
@@ -95,30 +96,29 @@ def pick_pivots(x: np.ndarray, pivots: int) -> np.ndarray:
 class Index:
     pivots: np.ndarray  # directions
     prefix: int
+    first: int  # pivots that lists are dealt by
+    usual: float  # cosine of a vector and its list's pivot
 
     def orders(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each vector's nearest pivots in order, its band of length, its cosines."""
+        """Each vector's nearest pivots in order, its list as one number, its cosines."""
         u, length = unit(x)
         cosine = u @ self.pivots.T
         most = min(self.prefix, len(self.pivots))
         some = np.argpartition(-cosine, most - 1, axis=1)[:, :most] if most < len(self.pivots) else np.tile(np.arange(most), (len(x), 1))
         value = np.take_along_axis(cosine, some, 1)
         order = np.lexsort((some, -value), axis=1)
-        return np.take_along_axis(some, order, 1).astype(np.int32), np.floor(2 * length).astype(np.int64), cosine
-
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's list, as one number, and its order of pivots."""
-        order, band, _ = self.orders(x)
-        return band * MOST_PIVOTS + order[:, 0], order
-
-    def promising(self, cosine: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """For each query its order of ``lists``: largest possible product first, of negative ones the shorter first."""
-        c = cosine[:, lists % MOST_PIVOTS]
-        band = (lists // MOST_PIVOTS)[None, :] / 2 + 0.5
+        band = np.floor(2 * length + 0.5).astype(np.int64)  # lengths about 1 are one band
+        return np.take_along_axis(some, order, 1).astype(np.int32), band * MOST_LISTS + cosine[:, : self.first].argmax(axis=1), cosine
+
+    def promising(self, cosine: np.ndarray, lists: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each query its order of ``lists``: the largest product to be expected in each, first."""
+        c = cosine[:, lists % MOST_LISTS]
+        spread = np.sqrt(2 * np.log1p(sizes) / self.pivots.shape[1] * (1 - self.usual**2))
+        best = c * self.usual + np.sqrt(np.maximum(0, 1 - c * c)) * spread
         # sign and logarithm instead of a product, which lengths of any size could overflow
         with np.errstate(divide="ignore"):
-            size = band + np.log2(np.abs(c))
-        return np.lexsort((np.broadcast_to(lists, c.shape), np.where(c > 0, -size, size), c <= 0), axis=1)
+            size = (lists // MOST_LISTS)[None, :] / 2 + np.log2(np.abs(best))
+        return np.lexsort((np.broadcast_to(lists, c.shape), np.where(best > 0, -size, size), best <= 0), axis=1)
 
 
 def footrule(order: np.ndarray, asked: np.ndarray, prefix: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def footrule(order: np.ndarray, asked: np.ndarray, prefix: int) -> np.ndarray:
 def search(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q: np.ndarray, asked: np.ndarray, prefix: int, most: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, vector rows, scores): of a block of vectors, in the order of ids, the best of those nearest by footrule."""
     n = len(ids)
-    keep = min(n, max(most, math.ceil(share * n)))
+    keep = min(n, most + math.ceil(share * n))
     for a in range(0, len(q), 128):
         score = q[a : a + 128] @ x.T
         if keep < n:
@@ -180,13 +180,13 @@ def _blocks(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int | None = None, prefix: int = PREFIX, share: float | None = None, target: float = TARGET, probes: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found. ``pivots``, ``share`` and ``probes`` are set by the data if not given."""
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS, prefix: int = PREFIX, share: float | None = None, target: float = TARGET, probes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest found. ``share`` and ``probes`` are set by the data if not given."""
     spark = vectors.sparkSession
     nothing = "query_id long, rank int, vec_id long, score double"
     rows = cut(usable(vectors).mapInArrow(_packed, "vec_id long, x binary"))
-    first = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
-    equal = rows.withColumn("k", first).filter(F.col("k") <= k + 1).groupBy("x").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    turn = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
+    equal = rows.withColumn("k", turn).filter(F.col("k") <= k + 1).groupBy("x").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     equal = cut(equal.withColumn("id", F.monotonically_increasing_id()))  # a vec_id may be that of several vectors
     count = equal.count()
     if not count:
@@ -194,27 +194,31 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int | No
     queries = cut(rows.filter(F.col("vec_id") % every == 0).join(equal.select("x", F.col("id").alias("query")), "x").select("vec_id", "query"))
     asked = equal.join(queries.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select("id", "x")
     sample = matrix(pa.array([bytes(r.x) for r in equal.orderBy(F.xxhash64("x"), "x").limit(SAMPLE).select("x").collect()], pa.binary()))
-    number = min(pivots or max(LEAST_PIVOTS, round(2 * math.sqrt(count))), MOST_PIVOTS)
-    shared = spark.sparkContext.broadcast(Index(pick_pivots(unit(sample)[0], number), min(prefix, number)))
+    first = min(max(LEAST_LISTS, round(math.sqrt(count) / 8)), MOST_LISTS)
+    chosen = pick_pivots(unit(sample)[0], max(pivots, first))
+    first = min(first, len(chosen))
+    usual = float((unit(sample)[0] @ chosen[:first].T).max(axis=1).mean())
+    shared = spark.sparkContext.broadcast(Index(chosen, min(prefix, len(chosen)), first, min(max(usual, 0.0), 1.0)))
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column("x"))
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.lists(x)[0]), batch.column("id"), batch.column("x")], names=["list", "id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.orders(x)[1]), batch.column("id"), batch.column("x")], names=["list", "id", "x"])
 
     placed = cut(equal.select("id", "x").mapInArrow(place, "list long, id long, x binary"))
     sizes = {r[0]: r[1] for r in placed.groupBy("list").count().collect()}  # as many as pivots and bands at most
     lists = np.array(sorted(sizes), np.int64)
+    filled = np.array([sizes[m] for m in lists.tolist()])
     fitted = _fitted(placed, asked, shared, lists, sizes, k, target) if probes is None or share is None else (probes, share)
-    few, part = min(probes or fitted[0], len(lists)), share or fitted[1]
+    few, part = min(probes or fitted[0], len(lists)), fitted[1] if share is None else share
     parts = {int(m): -(-n // BLOCK) for m, n in sizes.items()}
 
     def choose(batches):
         for batch in batches:
             if batch.num_rows:
                 index = shared.value
-                chosen = lists[index.promising(index.orders(matrix(batch.column("x")))[2], lists)[:, :few]]
+                chosen = lists[index.promising(index.orders(matrix(batch.column("x")))[2], lists, filled)[:, :few]]
                 at = np.repeat(np.arange(batch.num_rows), few)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), batch.column("id").take(pa.array(at)), batch.column("x").take(pa.array(at))], names=["list", "id", "x"])
 
@@ -280,7 +284,7 @@ def _fitted(placed: DataFrame, asked: DataFrame, shared, lists: np.ndarray, size
         return 1, 1.0
     index = shared.value
     orders, _, cosine = index.orders(q.value)
-    turn = np.argsort(index.promising(cosine, lists), axis=1)  # when each query comes to each list
+    turn = np.argsort(index.promising(cosine, lists, np.array([sizes[m] for m in lists.tolist()])), axis=1)  # when each query comes to each list
     row, mine = np.array([r.row for r in found]), np.array([r.list for r in found])
     depth = turn[row, np.searchsorted(lists, mine)]
     true_orders = index.orders(matrix(pa.array([bytes(r.x) for r in found], pa.binary())))[0]
@@ -302,7 +306,7 @@ def _fitted(placed: DataFrame, asked: DataFrame, shared, lists: np.ndarray, size
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row))), pa.array(total)], names=["t", "n"])
 
     rank = dict(placed.mapInArrow(nearer, "t long, n long").groupBy("t").agg(F.sum("n")).collect())
-    part = np.array([rank[t] / sizes[int(m)] for t, m in enumerate(mine.tolist())])
+    part = np.array([max(0, rank[t] - k - 1) / sizes[m] for t, m in enumerate(mine.tolist())])
     at = lambda x: np.sort(x)[min(len(x) - 1, math.ceil(target * len(x)) - 1)]
     return int(at(depth)) + 1, float(min(1.0, at(part)))
 

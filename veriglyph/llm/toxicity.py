@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .durable import cut
 from .language_id import held_out
-from .rolling import buffers, chunks, mix
+from .rolling import buffers, chunks, mix, trim
 
 SAMPLE, SMOOTH, PENALTY, THRESHOLD, ROUNDS, FOLDS = 2000, 1.0, 0.01, 0.3, 100, 3
-ORDERS, TINY = (3, 4, 5), 1e-12
+ORDERS, TINY, STEP = (3, 4, 5), 1e-12, 1 << 20
 
 
 def _folded() -> np.ndarray:
@@ -148,10 +148,9 @@ def _present(batches):
 
 
 def ratios(number: np.ndarray, offsets: np.ndarray, y: np.ndarray, features: int, smooth: float) -> np.ndarray:
-    """Each feature's log-count ratio: of its share in toxic texts to that in others."""
-    held = np.repeat(y, np.diff(offsets))
-    p, n = (np.bincount(number, weights=held == k, minlength=features) + smooth for k in (1, 0))
-    return np.log(p / p.sum()) - np.log(n / n.sum())
+    """Each feature's log-count ratio: of its share in toxic texts to that in others; 0 of those that no text has."""
+    p, n = (_back((y == k).astype(float), number, offsets, features) for k in (1, 0))
+    return np.where(p + n > 0, np.log((p + smooth) / (p + smooth).sum()) - np.log((n + smooth) / (n + smooth).sum()), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float = SMOOTH, penalty: float = PENALTY, rounds: int = ROUNDS, folds: int = FOLDS) -> Model:
@@ -159,25 +158,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float
     shuffled; the training texts' n-grams reach the driver, where the regression runs."""
     known, sizes = chosen_labels(labels, sample)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(known)), "doc_id")
-    got = sorted(train.select("doc_id", "text", "toxic").mapInArrow(_present, "doc_id long, toxic int, codes binary").collect(), key=lambda r: (r.doc_id, bytes(r.codes)))
-    y = np.array([r.toxic for r in got], float)
-    if not len(got) or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 50.0 if len(got) and y[0] else -50.0)
-    offsets = np.concatenate([[0], np.cumsum([len(r.codes) // 8 for r in got])])
-    codes = np.frombuffer(b"".join(bytes(r.codes) for r in got), np.int64)
-    del got
-    features, number = np.unique(codes, return_inverse=True)
-    number = number.astype(np.int32)
+    got = train.select("doc_id", "text", "toxic").mapInArrow(_present, "doc_id long, toxic int, codes binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("codes", "ascending")]).combine_chunks()
+    y = got.column("toxic").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 50.0 if len(y) and y[0] else -50.0)
+    data, at = buffers(got.column("codes"))
+    codes, offsets = data[at[0] : at[-1]].view(np.int64), (at - at[0]) // 8
+    features = np.unique(codes)
+    number = np.concatenate([np.searchsorted(features, codes[i : i + STEP]).astype(np.int32) for i in range(0, len(codes), STEP)] or [np.zeros(0, np.int32)])
+    del got, data, codes
+    trim()
     # classes were sampled at their own shares: weights bring back the rates of all labelled rows
     share = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
     share *= len(y) / share.sum()
 
     def trained(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ratios (0 of n-grams that no such row has), weights and intercept."""
+        """Ratios, weights and intercept."""
         mine, at = _of(rows, number, offsets)
         r = ratios(mine, at, y[rows], len(features), smooth)
-        r[np.bincount(mine, minlength=len(features)) == 0] = 0
-        return r, *_logistic(mine, at, r.astype(np.float32), y[rows], share[rows], penalty, rounds)
+        return r, *_logistic(mine, at, r, y[rows], share[rows], penalty, rounds)
 
     r, w, b = trained(np.arange(len(y)))
     slope, more = 1.0, 0.0
@@ -203,30 +203,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float
 
 def _of(rows: np.ndarray, number: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Some rows' features, and the rows' offsets in them."""
-    size = np.diff(offsets)[rows]
-    at = np.concatenate([[0], np.cumsum(size)])
-    return number[np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(offsets[:-1][rows], size)], at
+    size = np.diff(offsets)
+    some = np.zeros(len(size), bool)
+    some[rows] = True
+    return number[np.repeat(some, size)], np.concatenate([[0], np.cumsum(size[rows])])
+
+
+def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about STEP features together."""
+    cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], STEP)), len(offsets) - 1))
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
 def _sums(x: np.ndarray, number: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum of x over each row's features."""
-    some = np.flatnonzero(np.diff(offsets))
     out = np.zeros(len(offsets) - 1)
-    if len(some):
-        out[some] = np.add.reduceat(x[number], offsets[:-1][some], dtype=np.float64)
+    for i, j in _steps(offsets):
+        some = i + np.flatnonzero(np.diff(offsets[i : j + 1]))
+        if len(some):
+            out[some] = np.add.reduceat(x[number[offsets[i] : offsets[j]]], offsets[some] - offsets[i], dtype=np.float64)
+    return out
+
+
+def _back(g: np.ndarray, number: np.ndarray, offsets: np.ndarray, features: int) -> np.ndarray:
+    """For each feature the sum of g over the rows that have it."""
+    out = np.zeros(features)
+    for i, j in _steps(offsets):
+        out += np.bincount(number[offsets[i] : offsets[j]], weights=np.repeat(g[i:j], np.diff(offsets[i : j + 1])), minlength=features)
     return out
 
 
 def _logistic(number: np.ndarray, offsets: np.ndarray, scale: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression over rows' features, each of its scale, rows of length 1: weights and intercept."""
-    n, size = len(y), np.diff(offsets)
+    n = len(y)
     norm = 1 / np.sqrt(np.maximum(_sums(scale * scale, number, offsets), TINY))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         """The mean loss and its slope; the intercept is the last weight."""
         z = _sums(w[:-1] * scale, number, offsets) * norm + w[-1]
         g = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        slope = np.bincount(number, weights=np.repeat((g * norm).astype(np.float32), size), minlength=len(scale)) * scale / n + penalty / n * w[:-1]
+        slope = _back(g * norm, number, offsets, len(scale)) * scale / n + penalty / n * w[:-1]
         return float(np.mean(share * (np.logaddexp(0, z) - y * z))) + penalty / n / 2 * float(w[:-1] @ w[:-1]), np.append(slope, g.mean())
 
     w = minimum(loss, np.append(np.zeros(len(scale)), np.log((share * y).sum() / (share * (1 - y)).sum())), rounds)
