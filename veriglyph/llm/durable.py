@@ -24,6 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver find which shuffles no table needs any more, now that their results are cut: Spark's cleaner then drops their files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): of (a, b) links, each linked node's smallest reachable node.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import components, cut
+from .durable import components, cut, tidy
 from .repeats import partitions
 from .rolling import buffers, chunks, join, lean, mix, sliding, words
 
@@ -260,6 +260,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     bucketed = cut(bucketed.join(shared, "key").select("key", "size", F.col("doc_id").alias("a")))
     known = cut(first.join(bucketed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "n", "sig", "bands").dropDuplicates(["a"]))
     sets = cut(docs.join(known.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets(shingle)), "doc_id long, hashes binary").groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")))
+    tidy(docs.sparkSession)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = sets.selectExpr("doc_id as a", "hashes as xs"), sets.selectExpr("doc_id as b", "hashes as ys")
@@ -289,6 +290,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
         labels = components(links.union(more))
     # components are told to classes, one row each, before documents meet them; empty sets, which are no class, meet nothing
     told = cut(classes.join(labels.selectExpr("node as class_id", "component"), "class_id", "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component")))
+    tidy(docs.sparkSession)
     linked = found.filter("n > 0").select("doc_id", "n", "h1", "h2").join(told, ["n", "h1", "h2"]).select("doc_id", "n", "component", "class_id")
     joined = linked.union(found.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.col("doc_id").alias("class_id")))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "class_id")
