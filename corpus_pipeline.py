@@ -6,11 +6,24 @@ columns of ``docs``, extra ones too. Rows with null doc_id can't be named by a d
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriglyph.llm import decontamination, language_id, minhash_dedup, sentencepiece_codec, suffix_dedup
-from veriglyph.llm.durable import cut
+from veriglyph.llm.durable import cut, tidy
+
+
+def _alone(stage):
+    """A stage begins without the shuffles that only its predecessors needed."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +78,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify),
-    ("near_dedup", near_dedup),
-    ("exact_dedup", exact_dedup),
-    ("decontaminate", decontaminate),
-    ("tokenize", tokenize),
+    ("near_dedup", _alone(near_dedup)),
+    ("exact_dedup", _alone(exact_dedup)),
+    ("decontaminate", _alone(decontaminate)),
+    ("tokenize", _alone(tokenize)),
 ]
 ORACLE_SQL = None
 
