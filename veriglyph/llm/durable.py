@@ -24,6 +24,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the checkpoints of tables made by ``cut`` that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver find which shuffles no table needs any more, now that their results are cut: Spark's cleaner then drops their files."""
     spark.sparkContext._jvm.System.gc()
@@ -38,11 +48,15 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("a <> b").selectExpr("a", "b")
     both = cut(links.union(links.selectExpr("b as a", "a as b")).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as node", "least(a, m) as component"))
+    held = [labels]
     while True:
         near = both.join(labels.selectExpr("node as b", "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(near.selectExpr("a as node", "m"), "node").selectExpr("node", "component as was", "least(component, m) as component")
         jump = labels.selectExpr("node as component", "component as beyond")
         new = cut(lower.join(jump, "component", "left").selectExpr("node", "was", "least(component, coalesce(beyond, component)) as component"))
-        labels = new.select("node", "component")
-        if not new.filter("component < was").count():
+        lower = new.filter("component < was").count()
+        forget(*held)
+        labels, held = new.select("node", "component"), [new]
+        if not lower:
+            forget(both)
             return labels

@@ -239,6 +239,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
             more = [pa.array(letter & np.concatenate([np.zeros(0, bool), *like]))] if resemblance else []
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(label, pa.string()), pa.array(score), *more], names=[*names, *out])
             trim()
+        vars(model).pop("_tables", None)  # workers outlive their tasks
+        trim()
 
     kinds = ", ".join(f"c{n} {rows.schema[f'c{n}'].dataType.simpleString()}" for n in range(len(keep)))
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double" + ", resembles boolean" * resemblance).toDF(*keep, *out)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import components, cut, tidy
+from .durable import components, cut, forget, tidy
 from .repeats import partitions
 from .rolling import buffers, chunks, join, lean, mix, sliding, words
 
@@ -288,6 +288,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     more = cut(confirmed(pairs).union(met))
     if not more.isEmpty():
         labels = components(links.union(more))
+    forget(shared, bucketed, hubs, open_keys, rest, known, sets)
     # components are told to classes, one row each, before documents meet them; empty sets, which are no class, meet nothing
     told = cut(classes.join(labels.selectExpr("node as class_id", "component"), "class_id", "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component")))
     tidy(docs.sparkSession)
