@@ -7,14 +7,15 @@ both engines have. Where the SQL only holds for ASCII names, the query's names a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables, text
 from ..operators import pairs, preprocess, risk, suggest, validators
-from ..operators.guard import Config, NameGuard, RiskOptions
-from ..sources.specs import Source
+from ..operators.guard import PROFILES, Config, NameGuard, RiskOptions, with_profile
+from ..sources.specs import Source, registry, table_source
 from . import analytics
 
 QUERIES: dict[str, Callable] = {}
@@ -226,7 +227,7 @@ def case_insensitive_check(spark, d):
 
 @query(f"SELECT handle FROM {C} WHERE handle NOT IN (SELECT replace(handle, 'supplier', 'customer') FROM {S}) AND c_custkey % 2 = 1")
 def free_handles(spark, d):
-    """K5: an anti join with all sources."""
+    """K5: the names that no source holds."""
     guard = NameGuard(spark, Config(sources=_sources(spark, d)))
     return guard.collisions(customers(spark, d).select("handle"), "handle").filter("source is null").select("handle")
 
@@ -293,21 +294,6 @@ def suggest_similar(spark, d):
     return _suggested("similar")(spark, d).select("c_custkey", "candidate")
 
 
-@query(f"""SELECT handle AS normalized, concat_ws(',', handle || '1', handle || '-2', handle || '2') AS suggestions FROM {C} WHERE c_custkey % 2 = 0""")
-def suggest_free(spark, d):
-    """The first three that aren't taken or reserved; every second name's -1 is taken."""
-    c = customers(spark, d).filter("c_custkey % 2 = 0")
-    held = c.select("handle").union(c.select(F.concat("handle", F.lit("-1"))))
-    guard = NameGuard(spark, Config(sources=(Source("x", held, "handle"),), suggest={"strategy": ["sequential"]}))
-    return guard.check(c.select(F.col("handle").alias("identifier")), skip_suggestions=False).select("normalized", F.array_join("suggestions", ",").alias("suggestions"))
-
-
-@query(f"""SELECT c_custkey, concat_ws(',', handle || '-1', handle || '-dev', handle || '1', handle || '-io') AS first FROM {C}""")
-def suggest_compose(spark, d):
-    """U7."""
-    return customers(spark, d).select("c_custkey", F.array_join(F.slice(suggest.resolve(["sequential", "suffix-words"])(F.col("handle")), 1, 4), ",").alias("first"))
-
-
 @query(f"""SELECT handle AS normalized, CASE WHEN c_custkey % 2 = 0 THEN concat_ws(',', handle || '1', handle || '-2', handle || '2') ELSE concat_ws(',', handle || '-1', handle || '1', handle || '-2') END AS suggestions FROM {C}""")
 def suggest_free_all(spark, d):
     """U7-U9 over every customer; every second name's -1 is taken."""
@@ -370,22 +356,6 @@ def enforce_risk(spark, d):
     return risk.enforce_risk(_risk_guard(spark), ids, fail_on="warn").select("identifier", "allowed")
 
 
-@query(f"""SELECT c_custkey, CAST(n * 0.55::DOUBLE AS DECIMAL(9, 3))::DOUBLE AS distance, CAST(n AS INTEGER) AS cross_script_count, true AS skeleton_equal FROM (
-  SELECT c_custkey, length(handle) - length(replace(replace(replace(handle, 'a', ''), 'e', ''), 'o', '')) AS n FROM {C} WHERE c_custkey % 3 = 0)""")
-def distance_spoofed(spark, d):
-    """Cyrillic letters against the names they imitate."""
-    rows = customers(spark, d).filter("c_custkey % 3 = 0").withColumn("d", pairs.distance(F.expr(SPOOFING), F.col("handle")))
-    return rows.select("c_custkey", "d.distance", "d.cross_script_count", "d.skeleton_equal")
-
-
-@query(f"""SELECT c_custkey, 100 AS score, 'block' AS action FROM {C} WHERE c_custkey % 3 = 0""")
-def risk_spoofed(spark, d):
-    """R1 through the kernel: every spoofed name against its own."""
-    rows = customers(spark, d).filter("c_custkey % 3 = 0").withColumn("identifier", F.expr(SPOOFING))
-    scored = risk.check_risk(NameGuard(spark), rows, targets=rows.select(F.col("identifier").alias("normalized"), F.col("handle").alias("target")))
-    return rows.select("c_custkey", "identifier").join(scored, "identifier").select("c_custkey", "score", "action")
-
-
 @query(f"""SELECT c_custkey, CAST(n * 0.55::DOUBLE AS DECIMAL(9, 3))::DOUBLE AS distance, CAST(n AS INTEGER) AS cross_script_count, true AS skeleton_equal FROM (
   SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN length(handle) - length(replace(replace(replace(handle, 'a', ''), 'e', ''), 'o', '')) ELSE 0 END AS n FROM {C})""")
 def distance_spoofed_all(spark, d):
@@ -413,14 +383,6 @@ def skeleton_join_all(spark, d):
     return pairs.skeleton_join(a, b, "h", "handle").select("c_custkey", "other")
 
 
-@query(f"SELECT a.c_custkey, b.c_custkey AS other FROM {C} a JOIN {C} b ON a.handle = b.handle WHERE a.c_custkey % 3 = 0")
-def skeleton_join(spark, d):
-    """Spoofed names meet the names they imitate."""
-    a = customers(spark, d).filter("c_custkey % 3 = 0").select("c_custkey", F.expr(SPOOFING).alias("h"))
-    b = customers(spark, d).select(F.col("c_custkey").alias("other"), "handle")
-    return pairs.skeleton_join(a, b, "h", "handle").select("c_custkey", "other")
-
-
 @query(f"SELECT c_custkey, contains(handle, '1') AS confusable FROM {C}")
 def weighted_match(spark, d):
     """A digit and a letter that only a measured weight connects."""
@@ -603,3 +565,84 @@ def attack_outcomes(spark, d):
 def bench_corpus(spark, d):
     """A12."""
     return analytics.bench_corpus(spark)
+
+
+# settings, counts and sources
+
+
+PROFILED = "case c_custkey % 4 when 0 then handle when 1 then replace(handle, '-', '_') when 2 then concat(c_custkey, '-', c_custkey) else repeat(handle, 2) end"
+PROFILED_SQL = "CASE c_custkey % 4 WHEN 0 THEN handle WHEN 1 THEN replace(handle, '-', '_') WHEN 2 THEN c_custkey || '-' || c_custkey ELSE repeat(handle, 2) END"
+
+
+@query(f"""SELECT c_custkey, p AS profile, regexp_matches(h, '^[a-z0-9][a-z0-9-]{{1,' || n || '}}$') AND (num OR NOT regexp_matches(h, '^[0-9]+(-[0-9]+)*$')) AS valid
+FROM (SELECT c_custkey, {PROFILED_SQL} AS h FROM {C}), (VALUES ('consumer-handle', 29, false), ('org-slug', 39, false), ('developer-id', 49, true)) t(p, n, num)""")
+def profile_gate(spark, d):
+    """Every profile's rules, without reserved names."""
+    rows = customers(spark, d).select("c_custkey", F.expr(PROFILED).alias("identifier"))
+    parts = [NameGuard(spark, with_profile(p, Config())).validate_format(rows, reserved=False).select("c_custkey", F.lit(p).alias("profile"), F.col("message").isNull().alias("valid")) for p in PROFILES]
+    return reduce(DataFrame.unionAll, parts)
+
+
+SETTINGS = [(0, 45.0, 70.0), (1, 80.0, 20.0), (2, -5.0, 200.0), (3, 44.5, 44.4), (4, 100.0, 100.0)]
+
+
+@query(f"""SELECT setting, CASE WHEN score >= CASE WHEN b <= w THEN least(100, w + 1) ELSE b END THEN 'high' WHEN score >= w THEN 'medium' ELSE 'low' END AS level, count(*) AS n
+FROM {SCORED}, (SELECT CAST(setting AS INTEGER) AS setting, greatest(0, least(100, floor(w + 0.5))) AS w, greatest(0, least(100, floor(b + 0.5))) AS b FROM (VALUES {", ".join(map(str, SETTINGS))}) t(setting, w, b)) GROUP BY 1, 2""")
+def threshold_settings(spark, d):
+    """Settings out of order, out of range and between whole numbers."""
+    scored = _scored(spark, d)
+    parts = [scored.groupBy(risk.level("score", *risk.thresholds(w, b)).alias("level")).agg(F.count("*").alias("n")).select(F.lit(k).alias("setting"), "level", "n") for k, w, b in SETTINGS]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(f"SELECT CAST(CASE WHEN score >= 70 THEN 2 WHEN score >= 45 THEN 1 ELSE 0 END AS INTEGER) AS severity, count(*) AS n FROM {SCORED} GROUP BY 1")
+def severity_ranks(spark, d):
+    """Of the actions that scores lead to."""
+    scored = _scored(spark, d).withColumn("action", risk.action("score", 45, 70))
+    return scored.groupBy(analytics.severity("action").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE contains(h, lower(n_name))) THEN 'no' END AS message
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' || lower(n_name) || c_custkey ELSE handle END AS h FROM (SELECT c_custkey, c_nationkey, lower(replace(c_name, '#', '-')) AS handle FROM customer) JOIN nation ON c_nationkey = n_nationkey)""")
+def profanity_words(spark, d):
+    """A word list out of a table (of 25 rows), found inside names."""
+    nations = read(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("word"))
+    words = [r.word for r in nations.collect()]
+    rows = read(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    h = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("x"), "word", F.col("c_custkey").cast("string"))).otherwise(F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))))
+    return rows.select("c_custkey", validators.profanity(words, "no", mode="basic")(h).alias("message"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN length(handle) - length(replace(replace(replace(handle, 'a', ''), 'e', ''), 'o', '')) ELSE 0 END AS n FROM {C}")
+def confusable_counts(spark, d):
+    """N10."""
+    return customers(spark, d).select("c_custkey", text.count_mapped(F.expr(SPOOFING))[0].cast("long").alias("n"))
+
+
+@query(f"SELECT c_custkey, upper(handle) AS canonical FROM {C}")
+def canonicalise_capitals(spark, d):
+    """Cyrillic capitals become Latin capitals."""
+    return customers(spark, d).select("c_custkey", preprocess.canonicalise(F.translate(F.upper("handle"), "AEO", "АЕО")).alias("canonical"))
+
+
+@query(f"SELECT handle || CASE c_custkey % 3 WHEN 0 THEN 'AΆ' WHEN 1 THEN '' ELSE 'AΆΆΆ' END AS identifier, CASE c_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'none' ELSE 'high' END AS risk_level FROM {C}")
+def cross_script_customers(spark, d):
+    """C7 over every customer: one measured pair, none, three."""
+    rows = customers(spark, d).select(F.expr("concat(handle, case c_custkey % 3 when 0 then 'AΆ' when 1 then '' else 'AΆΆΆ' end)").alias("identifier"))
+    return pairs.cross_script_risk(rows, "identifier", tables.weights(spark)).select("identifier", "risk_level")
+
+
+@query(f"SELECT h AS identifier, {VALID.format('h')} AS available FROM (SELECT {PROFILED_SQL} AS h FROM {C})")
+def no_source_check(spark, d):
+    """With no source, whatever is well formed is free."""
+    return NameGuard(spark).check(customers(spark, d).select(F.expr(PROFILED).alias("identifier"))).select("identifier", "available")
+
+
+@query(f"""SELECT handle AS identifier, CASE WHEN c_custkey % 2 = 0 THEN 'customer' WHEN handle IN (SELECT replace(handle, 'supplier', 'customer') FROM {S}) THEN 'supplier' END AS source FROM {C}""")
+def registered_sources_check(spark, d):
+    """Sources by name out of a registry, one of them a catalog table."""
+    c, s = customers(spark, d), suppliers(spark, d)
+    s.select(F.col("s_suppkey").alias("id"), F.replace("handle", F.lit("supplier"), F.lit("customer")).alias("slug")).createOrReplaceTempView("veriglyph_taken_names")
+    held = registry({"customer": c.filter("c_custkey % 2 = 0").withColumnRenamed("c_custkey", "id")}, [{"name": "customer", "column": "handle"}])
+    guard = NameGuard(spark, Config(sources=(*held, table_source(spark, "veriglyph_taken_names", "slug", name="supplier"))))
+    return guard.check(c.select(F.col("handle").alias("identifier"))).select("identifier", "source")

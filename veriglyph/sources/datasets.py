@@ -22,7 +22,7 @@ def read_rows(spark: SparkSession, path: str, schema: str | None = None, what: s
     if path.endswith(".parquet"):
         rows = spark.read.parquet(path)
     else:
-        text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"^\s*(.)", 1)).first()
+        text = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S)", 1).alias("c")).filter("c <> ''").first()
         if text is None or text[0] != "[":
             raise DatasetError(f"{what} must be a JSON array.")
         reader = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("prefersDecimal", False)

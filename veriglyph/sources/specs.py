@@ -60,7 +60,7 @@ def table_source(spark: SparkSession, table: str, column: str, **more) -> Source
 
 
 def jdbc_source(spark: SparkSession, url: str, table: str, column: str, properties: dict | None = None, **more) -> Source:
-    """A database's table; the join key's filters and columns are pushed down."""
+    """A database's table. Its two columns are pushed down, its rows are read whole, in one task unless ``properties`` part them."""
     safe_name(table, "table name"), safe_name(column, "column name")
     return Source(more.pop("name", table), spark.read.jdbc(url, table, properties=properties or {}), column, **more)
 
