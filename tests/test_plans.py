@@ -23,6 +23,20 @@ def put(path, rows) -> str:
     return str(path)
 
 
+def test_identifiers_with_several_lists_of_targets_are_scored_at_once(spark):
+    lists = [["admin"], ["support", "admin"], ["billing"], [], ["adm1n", ""]]
+    rows = spark.createDataFrame([(k, name, p) for k, (name, p) in enumerate((n, p) for n in ("adrnin", "supp0rt", None) for p in lists)], "k int, identifier string, protect array<string>")
+    guard = NameGuard(spark)
+    got = {r.k: (r.score, r.action, r.top_target) for r in analytics.score_dataset(guard, rows, ["security"], include_reserved=False).collect()}
+    assert len(got) == 15
+    for k, name, protect in rows.collect():
+        want = (None, None, None)
+        if name is not None:
+            r = analytics.check_risk(guard, spark.createDataFrame([(name,)], "identifier string"), protect=protect or ["security"], include_reserved=False).first()
+            want = (r.score, r.action, r.matches[0].target if r.matches else None)
+        assert got[k] == want
+
+
 def test_calibration(spark, tmp_path):
     rows = datasets.read_rows(spark, put(tmp_path / "c.json", ROWS), datasets.CALIBRATION)
     scored = {r.identifier: (r.score, r.malicious, r.weight) for r in analytics.score_dataset(NameGuard(spark), analytics.calibration_rows(rows)).collect()}

@@ -40,8 +40,11 @@ def distance(a, b, table: dict[str, str] | None = None, weights: dict | None = N
 
 
 def collect_weights(weights: DataFrame) -> dict:
-    """Weights as the distance takes them; a bounded table."""
-    return {(r.src, r.tgt): (r.cost, bool(r.glyph_reuse), bool(r.xid_continue), bool(r.idna_pvalid)) for r in weights.limit(BROADCAST).collect()}
+    """Weights as the distance takes them; a table of more than ``BROADCAST`` rows is refused."""
+    rows = weights.limit(BROADCAST + 1).collect()
+    if len(rows) > BROADCAST:
+        raise ValueError(f"more than {BROADCAST} weights")
+    return {(r.src, r.tgt): (r.cost, bool(r.glyph_reuse), bool(r.xid_continue), bool(r.idna_pvalid)) for r in rows}
 
 
 def skeleton_join(a: DataFrame, b: DataFrame, left: str, right: str, table: dict[str, str] | None = None) -> DataFrame:

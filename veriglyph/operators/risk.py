@@ -109,26 +109,31 @@ def target_frame(guard: NameGuard, protect: list[str] | None, include_reserved:
     return rows.select(guard.normalize("name").alias("target")).filter("target <> ''").distinct()
 
 
-def check_risk(guard: NameGuard, ids: DataFrame, column: str = "identifier", protect: list[str] | None = None, targets: DataFrame | None = None, table: dict[str, str] | None = None, **options) -> DataFrame:
+def check_risk(guard: NameGuard, ids: DataFrame, column: str = "identifier", protect: list[str] | None = None, targets: DataFrame | None = None, table: dict[str, str] | None = None, key: str | None = None, **options) -> DataFrame:
     """(identifier, normalized, score, level, action, reasons, matches) for each distinct identifier; null ones are left out.
 
-    ``targets`` (normalized identifier, target) gives each identifier targets of its own instead of ``protect``.
+    ``targets`` (normalized identifier, target) gives each identifier targets of its own instead of ``protect``. With ``key``,
+    a column of both tables, an identifier has targets and a row for each of its keys.
     """
     o = {**vars(guard.risk), **{k: v for k, v in options.items() if v is not None}}
     warn, block = thresholds(o["warn_threshold"], o["block_threshold"])
     most = max(1, int(o["max_matches"]))
     table = full_map() if table is None else table
-    base = ids.select(F.col(column).alias("identifier")).filter("identifier is not null").distinct().withColumn("normalized", guard.normalize("identifier"))
-    names = base.select("normalized").distinct()
+    extra = [key] if key else []
+    by = [*extra, "normalized"]
+    base = ids.select(*extra, F.col(column).alias("identifier")).filter("identifier is not null").distinct().withColumn("normalized", guard.normalize("identifier"))
+    names = base.select(*by).distinct()
     if targets is None:
         every = target_frame(guard, list(guard.risk.protect) if protect is None else protect, o["include_reserved"])
-        pairs = candidates(names, every)
+        pairs = candidates(names.select("normalized").distinct(), every)
+        pairs = names.join(pairs, "normalized") if key else pairs
     else:
-        pairs = names.join(targets, "normalized").select("normalized", "target").distinct()
+        pairs = names.join(targets, by).select(*by, "target").distinct()
         if o["include_reserved"] and guard.reserved:
-            pairs = pairs.union(candidates(names, target_frame(guard, None, True))).distinct()
+            reserved = candidates(names.select("normalized").distinct(), target_frame(guard, None, True))
+            pairs = pairs.unionByName(names.join(reserved, "normalized") if key else reserved).distinct()
     scored = score_pairs(pairs, "normalized", "target", table).filter(F.col("score") >= FLOOR)
-    order = Window.partitionBy("normalized").orderBy(F.desc("score"), F.when(F.col("normalized") == F.col("target"), 0.0).otherwise(F.col("detail.distance")), F.collate("target", "UNICODE"), "target")
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.when(F.col("normalized") == F.col("target"), 0.0).otherwise(F.col("detail.distance")), F.collate("target", "UNICODE"), "target")
     best = scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
     exact, d = F.col("normalized") == F.col("target"), F.col("detail")
     why = [
@@ -141,7 +146,7 @@ def check_risk(guard: NameGuard, ids: DataFrame, column: str = "identifier", pro
     ]
     zero = lambda x, v: F.when(exact, F.lit(v)).otherwise(x)
     match = F.struct("k", "target", "score", zero(d["distance"], 0.0).alias("distance"), zero(d["chain_depth"], 0).alias("chain_depth"), zero(d["skeleton_equal"], True).alias("skeleton_equal"), F.filter(F.array(*why), lambda x: x.isNotNull()).alias("reasons"), exact.alias("exact"), d["divergence_count"].alias("divergence_count"))
-    matched = best.groupBy("normalized").agg(F.array_sort(F.collect_list(match)).alias("found"))
+    matched = best.groupBy(*by).agg(F.array_sort(F.collect_list(match)).alias("found"))
     top = F.try_element_at(F.col("found"), F.lit(1))
     detail = F.col("found").isNotNull() & ~top["exact"]
     near = [
@@ -152,13 +157,13 @@ def check_risk(guard: NameGuard, ids: DataFrame, column: str = "identifier", pro
     ]
     listed = F.array(*[F.struct((-w).alias("order"), F.lit(k).alias("seq"), F.lit(code).alias("code"), m.alias("message"), w.cast("int").alias("weight")) for k, (code, w, m) in enumerate(heuristics("normalized", table) + near)])
     reasons = F.array_sort(F.filter(listed, lambda r: r["weight"].isNotNull()))
-    out = names.join(matched, "normalized", "left").withColumn("reasons", reasons)
+    out = names.join(matched, by, "left").withColumn("reasons", reasons)
     total = F.least(F.lit(100), F.aggregate("reasons", F.lit(0), lambda a, r: a + r["weight"]))
     out = out.withColumn("score", F.greatest(total, F.coalesce(top["score"], F.lit(0))))
     plain = F.transform(F.coalesce("found", F.array().cast(matched.schema["found"].dataType)), lambda m: F.struct(m["target"].alias("target"), m["score"].alias("score"), m["distance"].alias("distance"), m["chain_depth"].alias("chain_depth"), m["skeleton_equal"].alias("skeleton_equal"), m["reasons"].alias("reasons")))
     said = F.transform("reasons", lambda r: F.struct(r["code"].alias("code"), r["message"].alias("message"), r["weight"].alias("weight")))
-    out = out.select("normalized", "score", level("score", warn, block).alias("level"), action("score", warn, block).alias("action"), said.alias("reasons"), plain.alias("matches"))
-    return base.join(out, "normalized").select("identifier", "normalized", "score", "level", "action", "reasons", "matches")
+    out = out.select(*by, "score", level("score", warn, block).alias("level"), action("score", warn, block).alias("action"), said.alias("reasons"), plain.alias("matches"))
+    return base.join(out, by).select(*extra, "identifier", "normalized", "score", "level", "action", "reasons", "matches")
 
 
 def enforce_risk(guard: NameGuard, ids: DataFrame, column: str = "identifier", fail_on: str = "block", messages: dict | None = None, protect: list[str] | None = None, **options) -> DataFrame:

@@ -93,38 +93,22 @@ def score_dataset(guard: NameGuard, rows: DataFrame, protect: list[str] | None =
     """A2: ``rows`` (identifier, protect, ...) with score, action and top target; a row's own targets go before the common ones."""
     default = F.array(*[F.lit(p) for p in protect or list(guard.risk.protect)]).cast("array<string>")
     own = rows.withColumn("protect_", F.array_sort(F.when(F.size("protect") > 0, F.col("protect")).otherwise(default)))
-    out = None
     # identifiers that come with several lists of targets are told apart by them
     keyed = own.withColumn("normalized", guard.normalize("identifier")).withColumn("key_", F.concat_ws("\x00", "normalized", F.concat_ws("\x01", "protect_")))
     names = keyed.select("key_", "normalized", "protect_").distinct()
     targets = names.select("key_", "normalized", F.explode("protect_").alias("t")).select("key_", "normalized", guard.normalize("t").alias("target")).filter("target <> ''").distinct()
     scored = _score_keyed(guard, names.select("key_", "normalized"), targets, table, **options)
-    out = keyed.join(scored, "key_", "left")
-    return out.drop("key_", "protect_", "normalized")
+    return keyed.join(scored, "key_", "left").drop("key_", "protect_", "normalized")
 
 
 def _score_keyed(guard: NameGuard, names: DataFrame, targets: DataFrame, table, **options) -> DataFrame:
     """check_risk over names with targets of their own; (key_, score, action, level, top_target)."""
     from dataclasses import replace
 
-    sets = targets.groupBy("key_").agg(F.array_sort(F.collect_set("target")).alias("set_"))
-    groups = names.join(sets, "key_", "left").withColumn("set_", F.coalesce("set_", F.array().cast("array<string>")))
     plain = NameGuard(guard.spark, replace(guard.config, normalize_unicode=False))  # names are normalized already
     plain.reserved = {nfkc(k): v for k, v in guard.reserved.items()} if guard.unicode else guard.reserved
-    # one identifier with one list is the rule; further lists of an identifier are scored under marks of their own
-    turn = F.dense_rank().over(Window.partitionBy("normalized").orderBy("set_"))
-    groups = groups.withColumn("turn_", turn)
-    most = groups.agg(F.max("turn_")).first()[0] or 0
-    parts = []
-    for k in range(1, most + 1):
-        now = groups.filter(F.col("turn_") == k)
-        own = now.select("normalized", F.explode("set_").alias("target")).distinct()
-        risk = check_risk(plain, now.select(F.col("normalized").alias("identifier")), targets=own, table=table, **options)
-        parts.append(now.join(risk.select(F.col("identifier").alias("normalized"), "score", "level", "action", F.try_element_at(F.col("matches"), F.lit(1))["target"].alias("top_target")), "normalized").select("key_", "score", "level", "action", "top_target"))
-    out = parts[0] if parts else guard.spark.createDataFrame([], "key_ string, score int, level string, action string, top_target string")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    risk = check_risk(plain, names.select("key_", F.col("normalized").alias("identifier")), targets=targets, table=table, key="key_", **options)
+    return risk.select("key_", "score", "action", "level", F.try_element_at(F.col("matches"), F.lit(1))["target"].alias("top_target"))
 
 
 def histogram(scored: DataFrame) -> DataFrame:
