@@ -10,8 +10,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A be
 
 ``proximity`` gives the looser matches: the two rarest terms of a window within ``slack`` words of their distance in it.
 
-The terms' table is broadcast while it holds at most ``BROADCAST`` terms (it depends on the benchmark alone), and joined
-by shuffling beyond. Postings are keyed by document, so no term's list meets in one task; counts are combined before
+Tables of terms and windows depend on the benchmark alone. They are broadcast while their counted bytes are at most
+``BROADCAST``, and joined by shuffling beyond. Postings are keyed by document, so no term's list meets in one task; counts are combined before
 they are shuffled.
 
 Defined results: null texts have no words; rows with null doc_id or item_id take no part; rows that repeat a doc_id are
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .durable import cut
 
-WINDOW, BROADCAST = 13, 500_000
+WINDOW, BROADCAST = 13, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +49,10 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "version", F.posexplode(tokens(F.col("text"))).alias("position", "term"))
 
 
-def _small(terms: DataFrame) -> DataFrame:
-    """Hinted for broadcast if its checked size allows that."""
-    return F.broadcast(terms) if terms.limit(BROADCAST + 1).count() <= BROADCAST else terms
+def _small(rows: DataFrame, strings: Column) -> DataFrame:
+    """Hinted for broadcast if its counted bytes allow that: those of ``strings`` and 96 for the rest of a row."""
+    size = rows.agg(F.sum(F.octet_length(strings) + 96)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST else rows
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def versions(docs: DataFrame) -> DataFrame:
 def rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(wid, item_id, length, term, offset, rank) of the two rarest terms of each window whose terms all occur."""
     placed = windows.select("wid", "item_id", "length", F.posexplode("terms").alias("offset", "term"))
-    terms = _small(placed.select("term").distinct())
+    terms = _small(placed.select("term").distinct(), F.col("term"))
     frequency = postings(docs).select("term").join(terms, "term", "left_semi").groupBy("term").count()
     best = F.slice(F.array_sort(F.collect_list(F.struct("count", "offset", "term"))), 1, 2)
     ranked = placed.join(frequency, "term").groupBy("wid", "item_id", "length").agg(F.count("*").alias("met"), best.alias("best")).filter("met = length")
@@ -70,10 +71,11 @@ def rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, windows: DataFrame, rare: DataFrame) -> DataFrame:
     """(doc_id, version, wid, item_id, start, length): every exact occurrence of a window."""
-    rare = _small(rare)
+    rare = _small(rare, F.concat("item_id", "term"))
     shifted = postings(docs).join(rare, "term").select("doc_id", "version", "wid", "item_id", "length", "rank", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
     likely = shifted.groupBy("doc_id", "version", "wid", "item_id", "length", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met")).filter("bit_count(met) = least(2, length)").drop("met")  # ranks, whatever the copies of a row
-    wanted = likely.join(F.broadcast(windows.select("wid", "item_id", "terms")), ["wid", "item_id"]) if windows.limit(BROADCAST + 1).count() <= BROADCAST else likely.join(windows.select("wid", "item_id", "terms"), ["wid", "item_id"])
+    told = _small(windows.select("wid", "item_id", "terms"), F.concat("item_id", F.concat_ws(" " * 16, "terms")))  # an array's words have heads of 8 bytes and are padded
+    wanted = likely.join(told, ["wid", "item_id"])
     wanted = wanted.select("doc_id", "version", "wid", "item_id", "length", "start", F.posexplode("terms").alias("offset", "term")).withColumn("position", F.col("start") + F.col("offset"))
     held = docs.join(likely.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
     met = wanted.join(postings(held), ["doc_id", "version", "position", "term"])
@@ -83,7 +85,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, rare: DataFrame) -> DataFra
 def proximity(docs: DataFrame, items: DataFrame, slack: int = 5, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, wid, start): the two rarest terms of a window, at most ``slack`` words off their distance in it."""
     docs, windows = versions(docs), windows_of(items, window)
-    rare = _small(rarest(docs, windows))
+    rare = _small(rarest(docs, windows), F.concat("item_id", "term"))
     shifted = postings(docs).join(rare, "term").select("doc_id", "version", "wid", "item_id", "rank", (F.col("position") - F.col("offset")).alias("start"))
     width = max(1, slack)
     cell = F.floor(F.col("start") / width)
