@@ -109,6 +109,17 @@ def test_shards(spark):
         assert slots == list(range(len(slots)))
 
 
+def test_a_group_of_a_third_leaves_no_shard_empty(spark):
+    """Cuts lie within the least capacity, each near to an equal share of what is left."""
+    docs = spark.createDataFrame([(k, "hot" * 20 if k % 3 == 0 else f"{k} " * 8) for k in range(3000)], "doc_id long, text string")
+    total = {}
+    for r in sharding.shard(docs).collect():
+        total[r.shard] = total.get(r.shard, 0) + r.size
+    assert sorted(total) == list(range(16)) and max(total.values()) >= 61 * 1000
+    others = sorted(total.values())[:-1]
+    assert others[0] > 0.5 * others[-1]
+
+
 def test_shards_by_zooming_equal_those_of_all_groups(spark):
     rng = random.Random(9)
     docs = spark.createDataFrame([(k, "x" * rng.randint(1, 90) + str(k % 2500)) for k in range(3000)], "doc_id long, text string")

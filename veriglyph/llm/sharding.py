@@ -1,11 +1,13 @@
 """Operator 6, sharding: minimax contiguous partition, with DataFrame functions only.
 
-Rows of equal text are an atomic group; groups are ordered by their text's MD5. The least capacity with which the ordered
+Rows of equal text are an atomic group; groups are ordered by their text's MD5, those larger than an equal share of
+what the larger ones leave before all others. The least capacity with which the ordered
 groups fit into ``shards`` runs is found by binary search, each try checked greedily. The search works on a bounded
 summary: ``PAGES`` ranges of the order with their sizes. Only ranges in which some try might cut are looked into, each
 by its 256 parts, until every cut lies between two groups; so the driver holds some 10**4 to 10**5 sums however many
 groups there are, and the result is that of the search over all groups. Within the capacity found, each cut is then put
-as near to an equal share as the later shards' capacity allows, so that the last shards aren't left empty.
+as near to an equal share as the later shards' capacity allows, and behind one more group at least, so that no shard is left
+empty while there are groups.
 
 Slots number a shard's rows from 0. Rows are counted by shard and hash of doc_id; the counts' running sums (at most
 ``shards`` x 1024) are broadcast and rows are numbered within those cells, so that neither a shard nor a group meets in one task.
@@ -20,15 +22,15 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .durable import cut
 
 SHARDS, CELLS = 16, 1024
-#: Hexadecimal digits of the first ranges (PAGES of them), and more with each look inside.
-FIRST, MORE = 3, 2
-PAGES = 16**FIRST
+#: Digits of the first ranges (PAGES of them, and those of large groups), and more with each look inside.
+FIRST, MORE = 4, 2
+PAGES = 16 ** (FIRST - 1)
 
 
 class Summary:
@@ -98,7 +100,7 @@ class Summary:
             vague.update(self.inside(int(ideal) - 1, int(ideal) + 1))
             n = bisect_right(self.ends, ideal)
             choices = [x for x in (self.ends[n - 1] if n else 0, self.ends[min(n, len(self.ends) - 1)] if self.ends else 0) if max(at, latest[k]) <= x <= at + capacity]
-            at = min(choices, key=lambda x: (abs(x - ideal), x)) if choices else max(at, latest[k])
+            at = min(choices, key=lambda x: (x == at, abs(x - ideal), x)) if choices else max(at, latest[k])
             cuts.append(at)
         return cuts, sorted(vague)
 
@@ -111,6 +113,17 @@ def _look(groups: DataFrame, digits: int, inside: list[str] | None) -> list[tupl
     return [tuple(r) for r in rows.collect()]
 
 
+def ordered(groups: DataFrame, shards: int) -> Column:
+    """The key by which groups are ordered: 0 or 1 and the MD5, 0 for a group larger than an equal share of what larger ones leave."""
+    left, large = groups.agg(F.sum("size")).first()[0] or 0, []
+    for key, size in groups.select("key", "size").orderBy(F.desc("size"), "key").limit(shards).collect():
+        if size * (shards - len(large)) <= left:
+            break
+        left -= size
+        large.append(key)
+    return F.concat(F.when(F.col("key").isin(large), "0").otherwise("1"), "key")
+
+
 def boundaries(groups: DataFrame, shards: int) -> list[str]:
     """The least key of each shard but the first; groups are (key, size)."""
     digits = FIRST
@@ -120,7 +133,7 @@ def boundaries(groups: DataFrame, shards: int) -> list[str]:
             for size in sorted({len(v) for v in vague}):
                 some = [v for v in vague if len(v) == size]
                 for k in range(0, len(some), 4096):
-                    found = _look(groups, min(32, size + MORE), some[k : k + 4096])
+                    found = _look(groups, min(33, size + MORE), some[k : k + 4096])
                     for v in some[k : k + 4096]:
                         del ranges[v]
                     ranges.update({r[0]: r for r in found})
@@ -137,12 +150,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("key")))
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("size")))
-    number = sum((F.when(F.col("key") >= b, 1).otherwise(0) for b in boundaries(groups, shards)), F.lit(0))
+    order = ordered(groups, shards)
+    number = sum((F.when(order >= b, 1).otherwise(0) for b in boundaries(groups.select(order.alias("key"), "size"), shards)), F.lit(0))
     placed = rows.select("doc_id", "size", "text_crc32", "key", number.alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).alias("cell"))
     counts = placed.groupBy("shard", "cell").count()  # at most shards x CELLS rows
     before = counts.select("shard", "cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("before"))
-    order = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size"))
-    out = placed.withColumn("n", order).join(F.broadcast(before), ["shard", "cell"])
+    turn = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size"))
+    out = placed.withColumn("n", turn).join(F.broadcast(before), ["shard", "cell"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
