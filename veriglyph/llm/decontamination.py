@@ -74,6 +74,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, rare: DataFrame) -> DataFra
     rare = _small(rare, F.concat("item_id", "term"))
     shifted = postings(docs).join(rare, "term").select("doc_id", "version", "wid", "item_id", "length", "rank", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
     likely = shifted.groupBy("doc_id", "version", "wid", "item_id", "length", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met")).filter("bit_count(met) = least(2, length)").drop("met")  # ranks, whatever the copies of a row
+    likely = cut(likely)  # read twice
     told = _small(windows.select("wid", "item_id", "terms"), F.concat("item_id", F.concat_ws(" " * 16, "terms")))  # an array's words have heads of 8 bytes and are padded
     wanted = likely.join(told, ["wid", "item_id"])
     wanted = wanted.select("doc_id", "version", "wid", "item_id", "length", "start", F.posexplode("terms").alias("offset", "term")).withColumn("position", F.col("start") + F.col("offset"))
