@@ -108,6 +108,17 @@ def test_parsers(spark):
     assert one(spark, lambda c: text.safe_divide(F.lit(1.0), F.col(c).cast("double")), "0", "4") == [0.0, 0.25]
 
 
+def test_all_readings_of_words_are_followed():
+    for word in ("badword", "b4d", "a+b", "@", "1@@7", "-"):
+        for substitutes in (kernels.BALANCED, kernels.AGGRESSIVE):
+            tree, some = kernels.Folded([word], FULL, substitutes), kernels.folds(word, FULL, substitutes, 10**6)
+            for value in ("badword", "b4.dw0rd", "xb@d", "a-b", "+a+b", "1@7", "17", "i7t", "@@", "", "4", "t", "b4d-0123457", "-", "laat"):
+                found, read = kernels.folds(value, FULL, substitutes, 10**6), kernels.readings(value, FULL, substitutes)
+                assert tree.meets(read, False) == any(f in some for f in found), (word, value)
+                assert tree.meets(read, True) == any(s in f for s in some for f in found), (word, value)
+    assert kernels.Folded(["badword"], FULL, kernels.BALANCED).meets(kernels.readings("x-b4.dw0rd-" + "0134570" * 30, FULL, kernels.BALANCED), True)
+
+
 def test_folds_and_lengths():
     assert "badword" in kernels.folds("b4.dw0rd", FULL, kernels.BALANCED, 64)
     assert len(kernels.folds("0" * 20, FULL, kernels.BALANCED, 64)) <= 64

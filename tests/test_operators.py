@@ -180,6 +180,13 @@ def test_validators(spark):
     assert said(validators.chain([validators.predicate(lambda c: F.lit(None).cast("boolean")), validators.predicate(lambda c: c == "x", "two")]), "x") == "two"
 
 
+def test_profanity_before_many_digits(spark):
+    rows = spark.createDataFrame([("x-b4.dw0rd-10431",), ("x-b4.dw0rd-013457013457",), ("b4dger-013457",), (None,)], "v string")
+    found = lambda v: [r[0] for r in rows.select(v(F.col("v"))).collect()]
+    assert found(validators.profanity(["badword"], "no")) == ["no", "no", None, None]
+    assert found(validators.profanity(["badword"], "no", most=64)) == [None] * 4
+
+
 def test_preprocessing(spark):
     def run(f, value, **o):
         return ids(spark, value).select(f("identifier", preprocess.ScanOptions(**o))).first()[0]

@@ -33,11 +33,14 @@ def _java(words) -> str:
     return "|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", w) for w in sorted(words))
 
 
-def profanity(words: list[str] | None = None, message: str = NOT_ALLOWED, substrings: bool = True, mode: str = "evasion", profile: str = "balanced", least: int = 4, table: dict[str, str] | None = None, most: int = 64) -> Validator:
-    """A listed word, or one of ``least`` characters inside; in ``evasion`` mode also behind substitutes."""
+def profanity(words: list[str] | None = None, message: str = NOT_ALLOWED, substrings: bool = True, mode: str = "evasion", profile: str = "balanced", least: int = 4, table: dict[str, str] | None = None, most: int | None = None) -> Validator:
+    """A listed word, or one of ``least`` characters inside; in ``evasion`` mode also behind substitutes.
+
+    All readings of a value count; with ``most`` only its first ones, at most so many after each character.
+    """
     known = sorted({w.strip().lower() for w in (WORDS if words is None else words)} - {""})
     table = full_map() if table is None else table
-    least, most = max(1, int(least)), max(1, int(most))
+    least = max(1, int(least))
     substitutes = kernels.AGGRESSIVE if profile == "aggressive" else kernels.BALANCED
     inside = [w for w in known if len(w) >= least] if substrings else []
 
@@ -48,14 +51,21 @@ def profanity(words: list[str] | None = None, message: str = NOT_ALLOWED, substr
 
     if mode == "basic" or not known:
         return predicate(basic, message)
-    exact = {f for w in known for f in kernels.folds(w, table, substitutes, min(16, most))}
-    parts = {f for w in inside for f in kernels.folds(w, table, substitutes, min(16, most))}
+    whole, parts = kernels.Folded(known, table, substitutes), kernels.Folded(inside, table, substitutes)
+
+    def all_readings(value: str) -> bool:
+        found = kernels.readings(value, table, substitutes)
+        return parts.meets(found, True) or whole.meets(found, False)
 
-    def evades(value: str) -> bool:
+    def first_readings(value: str) -> bool:
         found = kernels.folds(value, table, substitutes, most)
-        return any(f in exact for f in found) or bool(parts) and any(p.search(f) for f in found)
+        return any(f in exact for f in found) or bool(p) and any(p.search(f) for f in found)
 
-    p = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
+    evades = all_readings
+    if most is not None:
+        most, evades = max(1, int(most)), first_readings
+        exact, held = ({f for w in words for f in kernels.folds(w, table, substitutes, min(16, most))} for words in (known, inside))
+        p = re.compile("|".join(map(re.escape, sorted(held)))) if held else None
 
     @F.pandas_udf("boolean")
     def folded(s: pd.Series) -> pd.Series:
