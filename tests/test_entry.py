@@ -1,6 +1,7 @@
 import builtins
 import importlib
 import math
+import re
 import sys
 
 import duckdb
@@ -76,3 +77,7 @@ def test_plans(spark, sf):
     assert "ArrowEvalPython" not in plan(queries.QUERIES["is_clean_docs"](spark, sf))
     risk = plan(queries.QUERIES["risk_levels"](spark, sf))
     assert "CartesianProduct" not in risk and "BroadcastNestedLoopJoin" not in risk
+
+
+def test_identifiers_are_not_joined_with_themselves(spark, sf):
+    assert not re.search(r"keys \[\d\]: \[identifier", plan(queries.QUERIES["cross_script_customers"](spark, sf)))

@@ -112,6 +112,12 @@ def script_tag(c) -> Column:
     return out
 
 
+def scripts(c) -> Column:
+    """The known scripts of a text's characters, in order."""
+    c = col(c)
+    return F.array_compact(F.array(*[F.when(c.rlike(rf"\p{{Is{name.title()}}}"), F.lit(name)) for name in sorted(SCRIPTS)]))
+
+
 def count_mapped(c, table: dict[str, str] | None = None) -> tuple[Column, Column]:
     """How many characters a map has, and for how many of them NFKC disagrees."""
     c, table = col(c), full_map() if table is None else table

@@ -80,20 +80,26 @@ def are_confusable(pairs: DataFrame, a: str, b: str, table: dict[str, str] | Non
 
 
 def cross_script_risk(ids: DataFrame, column: str, weights: DataFrame | None = None) -> DataFrame:
-    """(identifier, scripts, pairs, risk_level) per distinct identifier."""
+    """(identifier, scripts, pairs, risk_level) per distinct identifier.
+
+    Each identifier's characters are held against the weights and then against itself; only met pairs are grouped again, so no
+    table of characters is joined, which a small file would let Spark broadcast.
+    """
     base = ids.select(F.col(column).alias("identifier")).filter("identifier is not null").distinct()
-    chars = base.select("identifier", F.posexplode(characters("identifier")).alias("pos", "ch")).withColumn("script", text.script_tag("ch")).filter(~F.col("script").isin("non-letter", "other-letter"))
-    scripts = chars.groupBy("identifier").agg(F.array_sort(F.collect_set("script")).alias("scripts"))
-    pairs = base.select("identifier", F.array().cast("array<struct<i: int, j: int, a: string, a_script: string, b: string, b_script: string, ssim: double>>").alias("pairs")).limit(0)
+    pairs = base.select("identifier", F.lit(None).cast("struct<i: int, j: int, a: string, a_script: string, b: string, b_script: string, ssim: double>").alias("pair"))
     if weights is not None:
         w = both_ways(weights)
-        w = F.broadcast(w) if weights.limit(BROADCAST + 1).count() <= BROADCAST else w
-        one = chars.join(w.withColumnRenamed("x", "ch"), "ch").select("identifier", F.col("pos").alias("i"), F.col("ch").alias("a"), F.col("script").alias("a_script"), F.col("y").alias("b"), "cost")
-        two = chars.select("identifier", F.col("pos").alias("j"), F.col("ch").alias("b"), F.col("script").alias("b_script"))
-        met = one.join(two, ["identifier", "b"]).filter((F.col("i") < F.col("j")) & (F.col("a_script") != F.col("b_script")))
+        w = F.broadcast(w) if weights.limit(BROADCAST + 1).count() <= BROADCAST else w.hint("merge")
+        one = base.select("identifier", F.posexplode(characters("identifier")).alias("i", "a"))
+        met = one.join(w.withColumnsRenamed({"x": "a", "y": "b"}), "a").filter(F.col("identifier").contains(F.col("b")))
+        met = met.withColumn("a_script", text.script_tag("a")).withColumn("b_script", text.script_tag("b"))
+        apart = [~F.col(c).isin("non-letter", "other-letter") for c in ("a_script", "b_script")]
+        met = met.filter(apart[0] & apart[1] & (F.col("a_script") != F.col("b_script")))
+        after = F.array_compact(F.transform(characters("identifier"), lambda c, j: F.when((c == F.col("b")) & (j > F.col("i")), j)))
         ssim = text.round_half_up(F.lit(1.0) - F.col("cost"), 4)
-        pairs = met.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct("i", "j", "a", "a_script", "b", "b_script", ssim.alias("ssim")))).alias("pairs"))
-    out = base.join(scripts, "identifier", "left").join(pairs, "identifier", "left")
-    found = F.coalesce("pairs", F.array().cast(pairs.schema["pairs"].dataType))
+        met = met.withColumn("j", F.explode(after)).select("identifier", F.struct("i", "j", "a", "a_script", "b", "b_script", ssim.alias("ssim")).alias("pair"))
+        pairs = pairs.union(met)
+    found = F.col("pairs")
     level = F.when(F.size(found) == 0, "none").when(F.exists(found, lambda p: p["ssim"] >= 0.8) | (F.size(found) >= 3), "high").otherwise("low")
-    return out.select("identifier", F.coalesce("scripts", F.array().cast("array<string>")).alias("scripts"), found.alias("pairs"), level.alias("risk_level"))
+    out = pairs.groupBy("identifier").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
+    return out.select("identifier", text.scripts("identifier").alias("scripts"), "pairs", level.alias("risk_level"))
