@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,22 @@ def forget(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the driver find which shuffles no table needs any more, now that their results are cut: Spark's cleaner then drops their files."""
+    """Let the driver find which shuffles no table needs any more, now that their results are cut: Spark's cleaner then drops their files.
+
+    Python's handles of tables lie in cycles and hold the JVM's tables until Python has collected its garbage and py4j has told
+    the JVM so. It does that in a thread that sleeps for a second whenever it finds nothing to tell, so what waits is told here.
+    """
+    gc.collect()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while waiting:
+        try:
+            task = waiting.pop()
+        except IndexError:  # the thread was faster
+            break
+        if not isinstance(task, tuple):  # the thread is to end
+            waiting.append(task)
+            break
+        task[0].garbage_collect_object(task[1], False)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -60,3 +76,4 @@ def components(links: DataFrame) -> DataFrame:
         if not lower:
             forget(both)
             return labels
+        tidy(labels.sparkSession)
